@@ -1,0 +1,8 @@
+"""Registered queries over the given tables, each with its SQL twin."""
+
+
+def all_queries():
+    """Import every query module and return the registry."""
+    from revloom.catalog import commit_queries, file_queries  # noqa: F401
+    from revloom.catalog.registry import QUERIES
+    return dict(QUERIES)

@@ -38,11 +38,15 @@ def month_start(value) -> Column:
 def human_size(size) -> Column:
     """Bytes as ``12.3KB``: base 1024, one decimal, up to TB."""
     b = _col(size).cast("double")
-    expr = F.when(b < 1024, F.format_string("%.1fB", b))
+
+    def text(power, unit):
+        # half to even first: the text format alone would round halves up
+        return F.format_string(f"%.1f{unit}", F.bround(b / float(1024 ** power), 1))
+
+    expr = F.when(b < 1024, text(0, "B"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
-        expr = expr.when(b < float(1024 ** (power + 1)),
-                         F.format_string(f"%.1f{unit}", b / float(1024 ** power)))
-    return expr.otherwise(F.format_string("%.1fTB", b / float(1024 ** 4)))
+        expr = expr.when(b < float(1024 ** (power + 1)), text(power, unit))
+    return expr.otherwise(text(4, "TB"))
 
 
 def content_preview(text, max_lines: int = 5, max_chars: int = 500) -> Column:

@@ -16,7 +16,9 @@ commit with very many files, so commits are split by size:
 The result is whole for any sizes.
 """
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from revloom.plans.skew import top_n
 
 SMALL_COMMIT = 200
 BLOCK = 512
@@ -36,21 +38,25 @@ def _membership(changes: DataFrame, least: int) -> DataFrame:
 
 
 def _small_pairs(members: DataFrame) -> DataFrame:
-    a = members.select("repo", "commit_hash", F.col("filepath").alias("file1"))
-    b = members.select("repo", "commit_hash", F.col("filepath").alias("file2"))
-    return (a.join(b, ["repo", "commit_hash"]).filter(F.col("file1") < F.col("file2"))
+    """Pair counts of small commits. Their sizes are bounded, so a commit fits into one array."""
+    lists = members.groupBy("repo", "commit_hash").agg(
+        F.array_sort(F.collect_list("filepath")).alias("_files"))
+    pairs = F.flatten(F.transform("_files", lambda x, i: F.transform(
+        F.slice("_files", i + 2, F.size("_files")),
+        lambda y: F.struct(x.alias("file1"), y.alias("file2")))))
+    return (lists.select("repo", F.inline(pairs))
             .groupBy("repo", "file1", "file2").agg(F.count(F.lit(1)).alias("small")))
 
 
 def _large_candidates(members: DataFrame, least: int, block: int) -> DataFrame:
     """Pairs that may share ``least`` large commits."""
-    # rank of the commit among the large commits of the file, smallest first; how many there are
-    by_size = W.partitionBy("repo", "filepath").orderBy("size", "commit_hash")
-    whole = W.partitionBy("repo", "filepath")
-    prefix = (members.withColumn("_rank", F.row_number().over(by_size))
-              .withColumn("_degree", F.count(F.lit(1)).over(whole))
-              .filter(F.col("_rank") <= F.col("_degree") - (least - 1))
-              .select("repo", "commit_hash", "filepath"))
+    prefix = members.select("repo", "commit_hash", "filepath")
+    if least > 1:
+        # leave out the (least - 1) largest commits of each file; a top-n is cut before its shuffle
+        largest = top_n(members, ["repo", "filepath"],
+                        [F.col("size").desc(), F.col("commit_hash").desc()], least - 1,
+                        spread=["commit_hash"]).select(*prefix.columns)
+        prefix = prefix.join(largest, prefix.columns, "left_anti")
     # block join: each file takes part in a row and a column of blocks of its commit
     counts = prefix.groupBy("repo", "commit_hash").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_blocks"))

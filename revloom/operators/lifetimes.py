@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from revloom.functions import scalars, text
 from revloom.plans.order import SEGMENT, running_sum, segment_of, with_position
-from revloom.plans.skew import attach
+from revloom.plans.skew import attach, measured
 
 
 def commit_sequence(commits: DataFrame) -> DataFrame:
@@ -106,7 +106,9 @@ def listed_head_files(presence: DataFrame, commits: DataFrame) -> DataFrame:
     """Files at head from a listing: those of each repository's latest commit."""
     heads = commits.groupBy("repo").agg(
         F.max_by("hash", F.struct("date", "hash")).alias("commit_hash"))
-    return presence.join(heads, ["repo", "commit_hash"], "left_semi").select("repo", "filepath")
+    # the listing is the largest table of all: it is not shuffled where the heads can be broadcast
+    side, _ = measured(heads)
+    return presence.join(side, ["repo", "commit_hash"], "left_semi").select("repo", "filepath")
 
 
 def files_at(lifetimes: DataFrame, targets: DataFrame, salts: int = 16) -> DataFrame:

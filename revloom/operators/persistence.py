@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from revloom.functions import scalars
-from revloom.plans.skew import attach
+from revloom.plans.skew import attach_measured
 
 
 def persistence_metrics(commits: DataFrame) -> DataFrame:
@@ -11,7 +11,8 @@ def persistence_metrics(commits: DataFrame) -> DataFrame:
 
     ``commits`` needs ``lines_changed``. Age counts from the first commit of the repository, so
     survival grows with the lateness of a commit; the index divides it by one plus normalised churn,
-    and only the stored values are rounded.
+    and only the stored values are rounded. The bounds per repository are computed and counted first,
+    so that the wide commit rows need no shuffle where the bounds can be broadcast.
     """
     dated = commits.filter(F.col("date").isNotNull())
     bounds = dated.groupBy("repo").agg(
@@ -26,7 +27,7 @@ def persistence_metrics(commits: DataFrame) -> DataFrame:
         F.round(F.col("lines_changed") / months, 2).alias("churn_rate"),
         F.round(survival, 4).alias("survival_rate"),
         F.round(survival / (F.lit(1.0) + churn), 4).alias("asi"))
-    return (attach(dated, bounds, ["repo"], spread=["hash"])
+    return (attach_measured(dated, bounds, ["repo"], spread=["hash"])
             .withColumn("architectural_metrics", metrics).drop("_start", "_end", "_top"))
 
 

@@ -1,0 +1,163 @@
+"""Named analyses over a :class:`History`: what they need, what they return, what was skipped."""
+
+import logging
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+from revloom.operators import clean, commits, contributors, files, stats
+from revloom.operators.persistence import asi_trend, persistence_metrics
+from revloom.sources.tables import History
+
+log = logging.getLogger(__name__)
+
+
+@dataclass(frozen=True)
+class AnalysisConfig:
+    """Settings of a run."""
+
+    modules: tuple[str, ...] = ("commits", "contributors", "files", "hotspots")
+    date_range: str | None = None
+    exclude_paths: tuple[str, ...] = ()
+    min_file_changes: int = 2
+    contributors_min_commits: int = 5
+    top_n: int = 20
+
+
+@dataclass(frozen=True)
+class Analysis:
+    name: str
+    requires: frozenset[str]
+    run: Callable[[History, AnalysisConfig], dict[str, DataFrame]]
+
+    def can_run(self, history: History) -> bool:
+        return history.has(self.requires)
+
+
+@dataclass
+class Outcome:
+    tables: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
+    skipped: dict[str, str] = field(default_factory=dict)
+
+    def status(self, spark: SparkSession) -> DataFrame:
+        rows = [(name, "done", "") for name in self.tables]
+        rows += [(name, "skipped", reason) for name, reason in self.skipped.items()]
+        return spark.createDataFrame(rows, "analysis string, status string, reason string")
+
+
+REGISTRY: dict[str, Analysis] = {}
+
+
+def analysis(name: str, *requires: str):
+    """Register a function as a named analysis."""
+    def register(run):
+        REGISTRY[name] = Analysis(name, frozenset(requires), run)
+        return run
+    return register
+
+
+def filtered(history: History, config: AnalysisConfig) -> History:
+    """Date range, path exclusion and the least number of changes per file, in this order."""
+    keep_commits = clean.filter_dates(history.commits, config.date_range)
+    changes = history.file_changes
+    if changes is not None:
+        if config.date_range and "date" not in changes.columns:
+            changes = files.date_changes(changes, history.commits)
+        changes = clean.filter_dates(changes, config.date_range)
+        changes = clean.exclude_paths(changes, config.exclude_paths)
+        changes = clean.frequent_files(changes, config.min_file_changes)
+    return History(**{**history.tables(), "commits": keep_commits,
+                      **({"file_changes": changes} if changes is not None else {})})
+
+
+@analysis("commits", "commits")
+def _commits(history, config):
+    c = history.commits
+    return {"monthly_commits": commits.monthly_commits(c), "weekdays": commits.weekday_counts(c),
+            "hours": commits.hour_counts(c), "years": commits.year_counts(c),
+            "overview": commits.commit_overview(c)}
+
+
+@analysis("contributors", "commits")
+def _contributors(history, config):
+    people = (history.contributors if history.contributors is not None
+              else contributors.contributors_from_commits(history.commits))
+    least, n = config.contributors_min_commits, config.top_n
+    return {"active_contributors": contributors.active_contributors(people, least, n),
+            "overview": contributors.contributor_overview(people, least, n),
+            "tiers": contributors.contributor_tiers(people),
+            "pareto": contributors.pareto(people),
+            "histogram": stats.histogram(people, "commit_count"),
+            "monthly_active": commits.monthly_active_contributors(history.commits)}
+
+
+@analysis("files", "file_changes")
+def _files(history, config):
+    changes = history.file_changes
+    out = {"file_extension_counts": files.extension_counts(changes),
+           "overview": files.change_overview(changes)}
+    if history.commits is not None:
+        dated = (changes if "date" in changes.columns
+                 else files.date_changes(changes, history.commits))
+        out["monthly_file_extensions"] = files.monthly_extensions(dated)
+    if history.language_statistics is not None:
+        out["languages"] = files.language_shares_with_others(history.language_statistics)
+    return out
+
+
+@analysis("hotspots", "file_changes")
+def _hotspots(history, config):
+    changes = history.file_changes
+    return {"top_files": files.top_changed_files(changes, config.top_n),
+            "directories": files.directory_activity(changes),
+            "depths": files.depth_distribution(changes),
+            "hotspot_analysis": files.file_heat(changes),
+            "heat_counts": files.file_heat_counts(changes),
+            "overview": files.change_frequency_summary(changes)}
+
+
+@analysis("architectural", "commits")
+def _architectural(history, config):
+    rows = history.commits
+    if "asi" not in rows.columns:
+        if "architectural_metrics" not in rows.columns:
+            if "lines_changed" not in rows.columns:
+                raise ValueError("commits carry no persistence metrics")
+            rows = persistence_metrics(rows)
+        rows = rows.select("*", "architectural_metrics.*")
+    return {"summary": stats.asi_summary(rows), "trend": asi_trend(rows),
+            "architectural_metrics_summary": stats.describe(rows),
+            "correlations": stats.correlations(rows),
+            "asi_histogram": stats.histogram(rows, "asi"),
+            "age_histogram": stats.histogram(rows, "age_days"),
+            "lines_by_asi": stats.box_plot(rows)}
+
+
+@analysis("activity", "commits")
+def _activity(history, config):
+    return {"heatmap": commits.activity_heatmap(history.commits),
+            "peaks": commits.activity_peaks(history.commits)}
+
+
+def run(history: History, config: AnalysisConfig = AnalysisConfig()) -> Outcome:
+    """Declare the tables of all wanted analyses. Unknown names, missing tables and failures are
+    logged and skipped."""
+    outcome = Outcome()
+    ready = filtered(history, config)
+    for name in config.modules:
+        module = REGISTRY.get(name)
+        if module is None:
+            outcome.skipped[name] = "unknown analysis"
+        elif not module.can_run(ready):
+            missing = sorted(module.requires - set(ready.tables()))
+            outcome.skipped[name] = "missing tables: " + ", ".join(missing)
+        else:
+            try:
+                outcome.tables[name] = module.run(ready, config)
+            except Exception as error:  # one failing analysis must not stop the others
+                log.exception("analysis %s failed", name)
+                outcome.skipped[name] = f"failed: {error}"
+    for name, reason in outcome.skipped.items():
+        log.warning("skipped %s: %s", name, reason)
+    return outcome

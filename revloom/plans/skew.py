@@ -2,9 +2,13 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from revloom.plans.runtime import settle
+
 SALTS = 16
 # Spark prunes row_number() <= n before the shuffle up to this n (windowGroupLimitThreshold)
 GROUP_LIMIT = 1000
+# a side is broadcast only after its rows were counted and are no more than this
+BROADCAST_ROWS = 200_000
 
 
 def attach(rows: DataFrame, scalars: DataFrame, keys, spread, salts: int = SALTS) -> DataFrame:
@@ -35,3 +39,21 @@ def top_n(rows: DataFrame, keys, order, n: int, spread, salts: int = 64) -> Data
                 .filter(F.col("_rank") <= n).drop("_rank", "_salt"))
     window = W.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
+
+
+def measured(side: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Compute a side that should be small, once, and tell whether it may be broadcast.
+
+    Runs one job. Used where the other side is so large that even writing its shuffle is worth
+    avoiding.
+    """
+    rows = settle(side)
+    small = rows.count() <= limit
+    return (F.broadcast(rows) if small else rows), small
+
+
+def attach_measured(rows: DataFrame, scalars: DataFrame, keys, spread,
+                    limit: int = BROADCAST_ROWS) -> DataFrame:
+    """:func:`attach` without a shuffle of ``rows`` where the counted scalar side is small."""
+    side, small = measured(scalars, limit)
+    return rows.join(side, list(keys), "left") if small else attach(rows, side, keys, spread)

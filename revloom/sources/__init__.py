@@ -1,0 +1 @@
+"""Readers and writers: history dumps, Parquet tables, JSON documents, CSV."""
