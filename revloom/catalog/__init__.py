@@ -3,6 +3,7 @@
 
 def all_queries():
     """Import every query module and return the registry."""
-    from revloom.catalog import commit_queries, file_queries  # noqa: F401
+    from revloom.catalog import (  # noqa: F401
+        commit_queries, file_queries, history_queries, source_queries)
     from revloom.catalog.registry import QUERIES
     return dict(QUERIES)

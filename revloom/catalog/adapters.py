@@ -79,23 +79,22 @@ class Tables:
     def edges(self) -> DataFrame:
         """Parents: the previous commit of the same author, and for every fifth one also the one before."""
         line = W.partitionBy("repo", "o_custkey").orderBy("o_orderdate", "o_orderkey")
-        parents = F.array(
-            F.struct(F.lit(0).alias("place"), F.lag("hash", 1).over(line).alias("parent")),
-            F.struct(F.lit(1).alias("place"),
-                     F.when(F.col("o_orderkey") % 5 == 0, F.lag("hash", 2).over(line))
-                     .alias("parent")))
-        return self.orders.select("repo", F.col("hash").alias("child"), F.inline(parents)).filter(
-            F.col("parent").isNotNull())
+        rows = self.orders.select(
+            "repo", F.col("hash").alias("child"), F.lag("hash", 1).over(line).alias("_first"),
+            F.when(F.col("o_orderkey") % 5 == 0, F.lag("hash", 2).over(line)).alias("_second"))
+        parents = F.array(F.struct(F.lit(0).alias("place"), F.col("_first").alias("parent")),
+                          F.struct(F.lit(1).alias("place"), F.col("_second").alias("parent")))
+        return rows.select("repo", "child", F.inline(parents)).filter(F.col("parent").isNotNull())
 
     @cached_property
     def commits_with_parents(self) -> DataFrame:
         line = W.partitionBy("repo", "author_email").orderBy(F.to_date("date"),
                                                              F.col("hash").cast("long"))
-        parents = F.filter(F.array(
-            F.lag("hash", 1).over(line),
-            F.when(F.col("hash").cast("long") % 5 == 0, F.lag("hash", 2).over(line))),
-            lambda p: p.isNotNull())
-        return self.commits.withColumn("parents", parents)
+        rows = self.commits.withColumns({
+            "_first": F.lag("hash", 1).over(line),
+            "_second": F.when(F.col("hash").cast("long") % 5 == 0, F.lag("hash", 2).over(line))})
+        return rows.withColumn("parents", F.array_compact(F.array("_first", "_second"))).drop(
+            "_first", "_second")
 
     @cached_property
     def branches(self) -> DataFrame:
@@ -163,7 +162,7 @@ class Tables:
 
 def half_up(expr: str, digits: int) -> str:
     """SQL for rounding a double the way Spark does: half up on its shortest decimal form."""
-    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 15)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"
 
 
 _REPO_SQL = "CASE WHEN {k} % 8 < 3 THEN 'core' ELSE 'lib' || ({k} % 8) END"

@@ -4,6 +4,8 @@ import logging
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from revloom.functions import paths
+from revloom.operators import files
 from revloom.operators.clean import flatten, parse_dates
 from revloom.schema import EXPORT_DOCUMENT
 from revloom.sources.tables import History
@@ -56,6 +58,35 @@ def history_from_documents(documents: DataFrame) -> History:
                    language_statistics=section(documents, "language_statistics"))
 
 
+def export_form(history: History) -> dict[str, DataFrame]:
+    """Commits, changes and contributors under the names of the document (``repo`` stays)."""
+    iso = "yyyy-MM-dd'T'HH:mm:ssXXX"
+    c = history.commits
+    kept = [x for x in ("is_merge", "message_length", "files_changed", "insertions", "deletions",
+                        "lines_changed", "architectural_metrics") if x in c.columns]
+    stamp = F.date_format("date", iso)
+    commits = c.select(
+        "repo", "hash", "author_name", "author_email", stamp.alias("author_date"),
+        stamp.alias("commit_date"), F.substring_index("message", "\n", 1).alias("subject"),
+        F.col("message").alias("full_message"),
+        (F.array_join("parents", " ") if "parents" in c.columns else F.lit("")).alias("parent_hashes"),
+        *kept)
+    changes = history.file_changes
+    dated = changes if "date" in changes.columns else files.date_changes(changes, c)
+    path = F.col("filepath")
+    old = F.col("old_path") if "old_path" in changes.columns else F.lit("")
+    out = {"commits": commits, "file_changes": dated.select(
+        "repo", "commit_hash", F.date_format("date", iso).alias("commit_date"), "change_type",
+        path.alias("file_path"), F.coalesce(old, F.lit("")).alias("old_file_path"),
+        paths.path_suffix(path).alias("file_extension"), paths.language_of(path).alias("language"),
+        paths.is_binary_path(path).alias("is_binary"),
+        paths.directory_depth(path).alias("directory_depth"))}
+    if history.contributors is not None:
+        out["contributors"] = history.contributors.withColumns({
+            x: F.date_format(x, iso) for x in ("first_commit_date", "last_commit_date")})
+    return out
+
+
 def to_documents(tables: dict[str, DataFrame], rows_per_document: int = 10_000) -> DataFrame:
     """(repo, part, document): JSON documents of at most about ``rows_per_document`` rows each.
 

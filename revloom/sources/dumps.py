@@ -39,7 +39,7 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
         F.col("p")[2].alias("author_email"),
         F.timestamp_seconds(F.col("p")[3].try_cast("long")).alias("date"),
         F.filter(F.split(F.col("p")[4], " "), lambda x: x != "").alias("parents"),
-        F.rtrim(F.col("p")[5]).alias("message"), F.col("p")[6].alias("body"))
+        F.regexp_replace(F.col("p")[5], r"\s+$", "").alias("message"), F.col("p")[6].alias("body"))
 
 
 def commits_from_log(log: DataFrame) -> DataFrame:
