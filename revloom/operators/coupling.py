@@ -18,6 +18,7 @@ The result is whole for any sizes.
 
 from pyspark.sql import DataFrame, functions as F
 
+from revloom.plans.runtime import settle
 from revloom.plans.skew import top_n
 
 SMALL_COMMIT = 200
@@ -27,7 +28,9 @@ BLOCK = 512
 def _membership(changes: DataFrame, least: int) -> DataFrame:
     """Distinct (repo, commit, file) of files with at least ``least`` commits (no other can pair),
     with the size of the commit."""
-    distinct = changes.select("repo", "commit_hash", "filepath").distinct()
+    # nearly unique keys: spread first, then drop the few repeats without combining before the shuffle
+    columns = ["repo", "commit_hash", "filepath"]
+    distinct = changes.select(*columns).repartition(*columns).distinct()
     if least > 1:
         often = distinct.groupBy("repo", "filepath").agg(F.count(F.lit(1)).alias("_d")).filter(
             F.col("_d") >= least).select("repo", "filepath")
@@ -92,12 +95,19 @@ def _count_large(candidates: DataFrame, members: DataFrame) -> DataFrame:
 
 def file_coupling(changes: DataFrame, min_occurrences: int = 5, small_commit: int = SMALL_COMMIT,
                   block: int = BLOCK) -> DataFrame:
-    """Unordered file pairs changed together in at least ``min_occurrences`` commits."""
+    """Unordered file pairs changed together in at least ``min_occurrences`` commits.
+
+    The memberships are settled because every step reads them; the steps for large commits are left out
+    where no commit is large.
+    """
     least = max(1, min_occurrences)
-    members = _membership(changes, least)
+    members = settle(_membership(changes, least))
     small = _small_pairs(members.filter(F.col("size") <= small_commit))
     large = members.filter(F.col("size") > small_commit)
     pair = ["repo", "file1", "file2"]
+    if large.isEmpty():
+        return small.filter(F.col("small") >= least).withColumnRenamed(
+            "small", "times_changed_together")
     candidates = _large_candidates(large, least, block).unionByName(small.select(*pair)).distinct()
     counted = _count_large(candidates, large)
     total = (F.coalesce("small", F.lit(0)) + F.coalesce("large", F.lit(0)))

@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from revloom.functions import scalars, text
 from revloom.plans.order import SEGMENT, running_sum, segment_of, with_position
+from revloom.plans.runtime import settle
 from revloom.plans.skew import attach, measured
 
 
 def commit_sequence(commits: DataFrame) -> DataFrame:
-    """(repo, hash, date, seq): dense commit numbers from 1. Runs one job (checkpoint)."""
+    """(repo, hash, date, seq): dense commit numbers from 1, settled, because most history queries
+    read them several times."""
     narrow = commits.select("repo", "hash", "date")
-    return with_position(narrow, ["repo"], [F.col("date").asc(), F.col("hash").asc()]
-                         ).withColumnRenamed("position", "seq")
+    return settle(with_position(narrow, ["repo"], [F.col("date").asc(), F.col("hash").asc()]
+                                ).withColumnRenamed("position", "seq"))
 
 
 def _events(changes: DataFrame, sequence: DataFrame) -> DataFrame:

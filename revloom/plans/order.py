@@ -14,7 +14,7 @@ from revloom.plans.runtime import settle
 def _blocks(rows: DataFrame, keys, order) -> DataFrame:
     """Range partition and settle; ``_block`` is the partition, ``_slot`` the place in it.
 
-    The result is checkpointed because it is read twice below: range bounds come from a sample, and
+    The result is settled because it is read twice below: range bounds come from a sample, and
     both reads must see the same ones.
     """
     sort = [F.col(k).asc() for k in keys] + list(order)

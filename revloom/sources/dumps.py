@@ -160,7 +160,7 @@ def read_pipe_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"))
     is_header = F.contains("value", F.lit("|")) & ~F.contains("value", F.lit("\t"))
-    # checkpointed: line numbers must not change between the two reads below
+    # settled: line numbers must not change between the two reads below
     marked = settle(lines.filter(F.trim("value") != "").withColumn(
         "_header", F.when(is_header, F.col("value"))))
     per_split = marked.groupBy("_file", "_block").agg(F.max_by(
