@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from revloom.operators import commits as commit_ops, lifetimes
 from revloom.operators.persistence import persistence_metrics
+from revloom.plans.runtime import settle
 
 AS_OF = "2001-09-01 00:00:00"
 
@@ -136,10 +137,11 @@ class Tables:
     @cached_property
     def metrics(self) -> DataFrame:
         """Commits with line totals and flattened persistence metrics."""
-        rows = persistence_metrics(commit_ops.export_commits(
-            self.orders.withColumns({"message": F.lit(""),
-                                     "parents": F.array().cast("array<string>")})
-            .select("repo", "hash", "date", "message", "parents"), self.changes))
+        bare = self.orders.withColumns({"message": F.lit(""),
+                                        "parents": F.array().cast("array<string>")})
+        wide = commit_ops.export_commits(
+            bare.select("repo", "hash", "date", "message", "parents"), self.changes)
+        rows = persistence_metrics(settle(wide))
         return rows.select("*", "architectural_metrics.*")
 
     @cached_property

@@ -34,6 +34,15 @@ def j9(t):
     return snapshots.commit_as_of(_daily_targets(t), t.commits)
 
 
+REACH = {"reach": """SELECT DISTINCT repo, last_commit_hash AS head, last_commit_hash AS hash FROM branches
+  UNION SELECT r.repo, r.head, e.parent FROM reach r JOIN edges e ON e.repo = r.repo
+    AND e.child = r.hash"""}
+
+
+def _heads(t):
+    return t.branches.select("repo", F.col("last_commit_hash").alias("hash"))
+
+
 YEARLY = {"targets": """SELECT DISTINCT repo, CAST(year(date) AS VARCHAR) AS snapshot_id,
   make_timestamp(year(date), 7, 1, 0, 0, 0) AS target FROM ord""", **ASOF,
           "snap": """SELECT a.repo, a.snapshot_id, l.filepath
@@ -42,13 +51,16 @@ YEARLY = {"targets": """SELECT DISTINCT repo, CAST(year(date) AS VARCHAR) AS sna
     AND (l.to_seq IS NULL OR s.seq < l.to_seq)"""}
 
 
-def _yearly(t):
+def _yearly_commits(t):
     years = t.orders.select("repo", F.year("date").alias("y")).distinct()
     targets = years.select("repo", F.col("y").cast("string").alias("snapshot_id"),
                            F.make_timestamp("y", F.lit(7), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
                            .alias("target"))
-    found = snapshots.commit_as_of(targets, t.commits)
-    return snapshots.snapshot_files(found, t.sequence, t.lifetimes)
+    return snapshots.commit_as_of(targets, t.commits)
+
+
+def _yearly(t):
+    return snapshots.snapshot_files(_yearly_commits(t), t.sequence, t.lifetimes)
 
 
 @query("K6_snapshot_files", "repo snapshot_id filepath", "SELECT * FROM snap", "lifetimes",
@@ -57,6 +69,24 @@ def k6(t):
     return _yearly(t)
 
 
+@query("K6_snapshot_headers", "repo snapshot_id commit_hash timestamp:t author commit_message branch "
+       "total_files:l", """
+SELECT a.repo, a.snapshot_id, a.commit_hash, c.date AS timestamp, author_name AS author,
+  message AS commit_message, branch, coalesce(n, 0) AS total_files
+FROM placed a JOIN commits c ON c.repo = a.repo AND c.hash = a.commit_hash
+LEFT JOIN (SELECT repo, snapshot_id, count(*) AS n FROM snap GROUP BY ALL) s
+  ON s.repo = a.repo AND s.snapshot_id = a.snapshot_id
+LEFT JOIN (SELECT r.repo, r.hash, min(b.branch_name) AS branch FROM reach r
+    JOIN branches b ON b.repo = r.repo AND b.last_commit_hash = r.head AND NOT b.is_remote
+    GROUP BY r.repo, r.hash) h ON h.repo = a.repo AND h.hash = a.commit_hash""",
+       "commits", "lifetimes", "edges", "branches", extra={**YEARLY, **REACH})
+def k6_headers(t):
+    found = _yearly_commits(t)
+    held = ancestry.branch_of_commit(t.orders, t.branches, ancestry.reachable(t.edges, _heads(t)))
+    files_found = snapshots.snapshot_files(found, t.sequence, t.lifetimes)
+    return snapshots.snapshot_headers(found, files_found, held)
+
+
 @query("K5_L4_directory_tree", "repo snapshot_id path parent_path depth:l name type children:l "
        "sort_key", """
 SELECT n.repo, n.snapshot_id, n.path, n.parent_path, n.depth, n.name, n.type,
@@ -114,15 +144,6 @@ def k6_preview(t):
     return snapshots.with_previews(t.contents.select("repo", "filepath"), t.contents)
 
 
-REACH = {"reach": """SELECT DISTINCT repo, last_commit_hash AS head, last_commit_hash AS hash FROM branches
-  UNION SELECT r.repo, r.head, e.parent FROM reach r JOIN edges e ON e.repo = r.repo
-    AND e.child = r.hash"""}
-
-
-def _heads(t):
-    return t.branches.select("repo", F.col("last_commit_hash").alias("hash"))
-
-
 @query("K8_ancestor_reachability", "repo head hash", "SELECT * FROM reach", "edges", "branches",
        extra=REACH)
 def k8(t):

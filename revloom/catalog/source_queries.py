@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from revloom.catalog import dump_fixture
 from revloom.catalog.registry import query
 from revloom.operators import ancestry, commits, contributors, report
-from revloom.plans import pipeline
+from revloom.plans import analyses
 from revloom.plans.runtime import scratch_path
 from revloom.sources import documents, dumps, sinks, tables
 
@@ -200,7 +200,7 @@ def s16(t):
     return report.table_counts(built)
 
 
-@query("X1_U3_pipeline", "analysis table_name repo rows:l", """
+@query("X1_U3_analyses", "analysis table_name repo rows:l", """
 SELECT 'commits' AS analysis, 'years' AS table_name, repo, count(DISTINCT year(date)) AS rows
 FROM ord GROUP BY repo
 UNION ALL SELECT 'hotspots', 'heat_counts', repo, count(DISTINCT CASE WHEN n <= p50 THEN 1
@@ -212,12 +212,12 @@ UNION ALL SELECT 'nothing', 'missing tables: tags', '', 0""", "ord", "changes",
        extra={"kept": """SELECT repo, filepath, count(*) AS n FROM changes
          WHERE NOT regexp_matches(filepath, '\\.png$') GROUP BY ALL HAVING count(*) >= 2"""})
 def x1(t):
-    pipeline.REGISTRY.setdefault("nothing", pipeline.Analysis(
+    analyses.REGISTRY.setdefault("nothing", analyses.Analysis(
         "nothing", frozenset({"tags"}), lambda history, config: {}))
-    config = pipeline.AnalysisConfig(modules=("commits", "hotspots", "unknown", "nothing"),
+    config = analyses.AnalysisConfig(modules=("commits", "hotspots", "unknown", "nothing"),
                                      exclude_paths=(r"\.png$",))
     history = tables.History(commits=t.orders, file_changes=t.changes)
-    outcome = pipeline.run(history, config)
+    outcome = analyses.run(history, config)
     parts = [outcome.tables[a][b].groupBy("repo").agg(F.count(F.lit(1)).alias("rows")).select(
         F.lit(a).alias("analysis"), F.lit(b).alias("table_name"), "repo", "rows")
         for a, b in (("commits", "years"), ("hotspots", "heat_counts"))]

@@ -4,10 +4,12 @@ import logging
 from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from revloom.operators import ancestry, commits as commit_ops, contributors, files, lifetimes
 from revloom.operators.persistence import persistence_metrics
+from revloom.plans.runtime import settle
+from revloom.plans.skew import measured
 from revloom.sources import dumps
 
 log = logging.getLogger(__name__)
@@ -47,7 +49,8 @@ def limit_history(history: History, newest: int | None) -> History:
     if newest is None:
         return history
     kept = commit_ops.newest(history.commits, newest)
-    keys = kept.select("repo", F.col("hash").alias("commit_hash"))
+    # changes and listings are large: not shuffled where the kept commits can be broadcast
+    keys, _ = measured(kept.select("repo", F.col("hash").alias("commit_hash")))
     cut = {name: getattr(history, name).join(keys, ["repo", "commit_hash"], "left_semi")
            for name in ("file_changes", "file_presence") if getattr(history, name) is not None}
     return History(commits=kept, **cut, branches=history.branches, tags=history.tags)
@@ -71,7 +74,8 @@ def build_history(base: History, *, newest: int | None = None, patterns: bool =
     """The extraction: commits with line totals (and persistence metrics), changes with path facts,
     branches, contributors, languages and patterns."""
     base = limit_history(base, newest)
-    wide = commit_ops.export_commits(base.commits, base.file_changes)
+    # settled: patterns, bounds of the metrics and the result all read it
+    wide = settle(commit_ops.export_commits(base.commits, base.file_changes))
     if base.file_presence is not None:
         heads = lifetimes.listed_head_files(base.file_presence, base.commits)
     else:
@@ -79,7 +83,8 @@ def build_history(base: History, *, newest: int | None = None, patterns: bool =
         heads = lifetimes.head_files(lifetimes.file_lifetimes(base.file_changes, sequence))
     branches = base.branches
     if branches is not None and "parents" in base.commits.columns:
-        default = ancestry.choose_branch(branches)
+        default = (dumps.default_branches(branches) if "symref" in branches.columns
+                   else ancestry.choose_branch(branches))
         branches = ancestry.branch_facts(branches, ancestry.parent_edges(base.commits), default)
     return History(
         commits=persistence_metrics(wide) if metrics else wide,
@@ -107,12 +112,14 @@ def read_tables(spark: SparkSession, root: str) -> History | None:
     found = {}
     for name in STORED:
         try:
-            # repository names stay text even when they look like numbers
-            table = spark.read.parquet(f"{root}/{name}")
+            stored = spark.read.parquet(f"{root}/{name}").schema
         except AnalysisException as error:
             log.warning("no stored table %s: %s", name, error)
             return None
-        found[name] = table.withColumn("repo", F.col("repo").cast("string"))
+        # repository names stay text even when they look like numbers
+        typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "repo" else f
+                              for f in stored.fields])
+        found[name] = spark.read.schema(typed).parquet(f"{root}/{name}")
     return History(**found)
 
 

@@ -1,0 +1,5 @@
+"""Nothing of its own: all analyses are batch jobs.
+
+Narrow transforms (keyword search, cleaning, path functions) run on a ``readStream`` frame as they are;
+``tests/test_functions.py`` shows one.
+"""
