@@ -53,13 +53,13 @@ def monthly_commits(commits: DataFrame) -> DataFrame:
 
 def weekday_counts(commits: DataFrame) -> DataFrame:
     """Commits per weekday, all seven days present."""
-    counts = commits.groupBy("repo", scalars.day_name("date").alias("day_of_week")).agg(
+    counts = commits.groupBy("repo", scalars.day_name("date").alias("_day")).agg(
         F.count(F.lit(1)).alias("_n"))
-    spine = counts.select("repo").distinct().select(
-        "repo", F.posexplode(F.array(*map(F.lit, WEEKDAYS))).alias("day_number", "day_of_week"))
-    return spine.join(counts, ["repo", "day_of_week"], "left").select(
-        "repo", (F.col("day_number") + 1).alias("day_number"), "day_of_week",
-        F.coalesce("_n", F.lit(0)).alias("commit_count"))
+    days = F.array(*[F.struct(
+        F.lit(i).alias("day_number"), F.lit(day).alias("day_of_week"),
+        F.coalesce(F.sum(F.when(F.col("_day") == day, F.col("_n"))), F.lit(0)).alias("commit_count"))
+        for i, day in enumerate(WEEKDAYS, 1)])
+    return counts.groupBy("repo").agg(days.alias("_d")).select("repo", F.inline("_d"))
 
 
 def hour_counts(commits: DataFrame) -> DataFrame:
@@ -72,63 +72,71 @@ def year_counts(commits: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("commit_count"))
 
 
-def _busiest(counts: DataFrame, label: str, tie, out: str) -> DataFrame:
-    # most commits first, then the smallest tie value
-    return counts.groupBy("repo").agg(
-        F.max_by(label, F.struct(F.col("commit_count"), -tie)).alias(out),
-        F.max("commit_count").alias(f"{out}_count"))
+def _activity(commits: DataFrame) -> DataFrame:
+    """Commits by month, by weekday and by hour in one table of small counts, from one pass.
+
+    Cells of (month, weekday, hour) come first; the grouping sets then only see those few rows.
+    """
+    parents = (F.col("parents") if "parents" in commits.columns
+               else F.array().cast("array<string>"))
+    length = (F.length(text.subject_line("message")) if "message" in commits.columns else F.lit(0))
+    cells = commits.groupBy(
+        "repo", F.date_format("date", "yyyy-MM").alias("month"),
+        scalars.day_name("date").alias("day"), F.hour("date").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"),
+        F.count_if(F.size(parents) > 1).alias("merges"), F.sum(length).alias("length"))
+    repo, month, day, hour = (F.col(c) for c in ("repo", "month", "day", "hour"))
+    return cells.groupingSets([[repo, month], [repo, day], [repo, hour]], repo, month, day, hour).agg(
+        *[F.sum(c).alias(c) for c in ("n", "merges", "length")],
+        F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def _busiest() -> list:
+    """Busiest weekday and hour with their counts; on a tie the earlier one."""
+    n, day, hour = F.col("n"), F.col("day"), F.col("hour")
+    best_day = F.max(F.when(day.isNotNull(), F.struct(
+        n, (-scalars.weekday_number("day")).alias("tie"), day)))
+    best_hour = F.max(F.when(hour.isNotNull(), F.struct(n, (-hour).alias("tie"), hour)))
+    return [best_day["day"].alias("most_active_day"), best_day["n"].alias("most_active_day_count"),
+            best_hour["hour"].alias("most_active_hour"), best_hour["n"].alias("most_active_hour_count")]
 
 
 def commit_overview(commits: DataFrame) -> DataFrame:
     """Total, first and last commit, busiest weekday and hour."""
-    totals = commits.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("total_commits"), F.min("date").alias("first_commit"),
-        F.max("date").alias("last_commit"))
-    days = _busiest(weekday_counts(commits), "day_of_week", F.col("day_number"), "most_active_day")
-    hours = _busiest(hour_counts(commits), "hour", F.col("hour"), "most_active_hour")
-    return totals.join(days, ["repo"], "left").join(hours, ["repo"], "left")
+    return _activity(commits).groupBy("repo").agg(
+        F.sum(F.when(F.col("hour").isNotNull(), F.col("n"))).alias("total_commits"),
+        F.min("first").alias("first_commit"), F.max("last").alias("last_commit"), *_busiest())
 
 
 def commit_patterns(commits: DataFrame) -> DataFrame:
-    """Busiest weekday and hour, merge share, mean message length, month -> count.
+    """Busiest weekday and hour, merge share, mean message length, month -> count."""
+    by_hour = F.col("hour").isNotNull()
+
+    def total(column):
+        return F.sum(F.when(by_hour, F.col(column)))
 
-    One pass to (month, weekday, hour) counts and sums; everything else reads those few rows.
-    """
-    cells = commits.groupBy(
-        "repo", F.date_format("date", "yyyy-MM").alias("month"),
-        scalars.day_name("date").alias("day_of_week"), F.hour("date").alias("hour")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum((F.size(F.coalesce("parents", F.array().cast("array<string>"))) > 1).cast("long"))
-        .alias("_merges"),
-        F.sum(F.length(text.subject_line("message"))).alias("_length"))
-    totals = cells.groupBy("repo").agg(
-        F.round(F.sum("_merges") / F.sum("_n") * 100, 2).alias("merge_commit_percentage"),
-        F.round(F.sum("_length") / F.sum("_n"), 2).alias("avg_message_length"))
-
-    def count_by(column):
-        return cells.groupBy("repo", column).agg(F.sum("_n").alias("commit_count"))
-
-    days = _busiest(count_by("day_of_week"), "day_of_week", scalars.weekday_number("day_of_week"),
-                    "most_active_day")
-    hours = _busiest(count_by("hour"), "hour", F.col("hour"), "most_active_hour")
     # at most one entry per calendar month
-    trend = count_by("month").groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("month", "commit_count")))).alias("monthly_commit_trend"))
-    return totals.join(days, ["repo"]).join(hours, ["repo"]).join(trend, ["repo"])
+    months = F.collect_list(F.when(F.col("month").isNotNull(),
+                                   F.struct("month", F.col("n").alias("commit_count"))))
+    return _activity(commits).groupBy("repo").agg(
+        F.round(total("merges") / total("n") * 100, 2).alias("merge_commit_percentage"),
+        F.round(total("length") / total("n"), 2).alias("avg_message_length"), *_busiest(),
+        F.map_from_entries(F.array_sort(months)).alias("monthly_commit_trend"))
 
 
 def activity_heatmap(commits: DataFrame) -> DataFrame:
     """Weekday by hour counts, hours ``h0`` … ``h23`` as columns, all weekdays present."""
-    cells = commits.groupBy("repo", scalars.day_name("date").alias("day_of_week"),
+    cells = commits.groupBy("repo", scalars.day_name("date").alias("_day"),
                             F.hour("date").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    wide = cells.groupBy("repo", "day_of_week").agg(*[
-        F.coalesce(F.sum(F.when(F.col("_h") == h, F.col("_n"))), F.lit(0)).alias(f"h{h}")
-        for h in range(24)])
-    spine = wide.select("repo").distinct().select(
-        "repo", F.posexplode(F.array(*map(F.lit, WEEKDAYS))).alias("day_number", "day_of_week"))
-    hours = [f"h{h}" for h in range(24)]
-    return (spine.withColumn("day_number", F.col("day_number") + 1)
-            .join(wide, ["repo", "day_of_week"], "left").fillna(0, subset=hours))
+    # a repository has at most 7 * 24 cells
+    counts = cells.groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws("|", "_day", "_h").alias("cell"), F.col("_n")))).alias("_counts"))
+    days = F.array(*[F.struct(F.lit(i).alias("day_number"), F.lit(day).alias("day_of_week"))
+                     for i, day in enumerate(WEEKDAYS, 1)])
+    return counts.select("repo", "_counts", F.inline(days)).select(
+        "repo", "day_number", "day_of_week", *[
+            F.coalesce(F.try_element_at("_counts", F.concat_ws("|", "day_of_week", F.lit(h))),
+                       F.lit(0)).alias(f"h{h}") for h in range(24)])
 
 
 def activity_peaks(commits: DataFrame) -> DataFrame:

@@ -27,19 +27,20 @@ def contributor_stats(commits: DataFrame, changes: DataFrame) -> DataFrame:
 
 def contributor_export(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """Per (name, email): commits, dates, lines, distinct files, mean lines per commit."""
-    sizes = _commit_sizes(changes)
     who = ["repo", "author_name", "author_email"]
-    lines = commits.join(sizes, ["repo", "hash"], "left").groupBy(*who).agg(
+    authored = commits.groupBy(*who).agg(
         F.count(F.lit(1)).alias("commit_count"), F.min("date").alias("first_commit_date"),
-        F.max("date").alias("last_commit_date"),
-        F.coalesce(F.sum("_ins"), F.lit(0)).alias("total_insertions"),
-        F.coalesce(F.sum("_del"), F.lit(0)).alias("total_deletions"))
+        F.max("date").alias("last_commit_date"))
     authors = commits.select("repo", F.col("hash").alias("commit_hash"), "author_name",
                              "author_email")
-    touched = (changes.select("repo", "commit_hash", "filepath")
-               .join(authors, ["repo", "commit_hash"]).groupBy(*who).agg(
-                   F.countDistinct("filepath").alias("files_touched")))
-    return (lines.join(touched, who, "left").fillna(0, subset=["files_touched"])
+    # one pass over the changes: lines per (author, file), then lines and files per author
+    per_file = changes.join(authors, ["repo", "commit_hash"]).groupBy(*who, "filepath").agg(
+        F.sum("insertions").alias("_ins"), F.sum("deletions").alias("_del"))
+    lines = per_file.groupBy(*who).agg(
+        F.sum("_ins").alias("total_insertions"), F.sum("_del").alias("total_deletions"),
+        F.count(F.lit(1)).alias("files_touched"))
+    return (authored.join(lines, who, "left")
+            .fillna(0, subset=["total_insertions", "total_deletions", "files_touched"])
             .withColumn("total_lines_changed", F.col("total_insertions") + F.col("total_deletions"))
             .withColumn("avg_lines_per_commit",
                         F.round(F.col("total_lines_changed") / F.col("commit_count"), 2)))
@@ -93,12 +94,11 @@ def contributor_tier(count) -> F.col:
 
 def contributor_tiers(contributors: DataFrame) -> DataFrame:
     """Contributors per tier, all four tiers present."""
-    counts = contributors.groupBy("repo", contributor_tier("commit_count").alias("tier")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    labels = F.array(*[F.lit(label) for label, _ in CONTRIBUTOR_TIERS])
-    spine = counts.select("repo").distinct().select("repo", F.explode(labels).alias("tier"))
-    return spine.join(counts, ["repo", "tier"], "left").select(
-        "repo", "tier", F.coalesce("_n", F.lit(0)).alias("contributors"))
+    tier = contributor_tier("commit_count")
+    counts = F.array(*[F.struct(F.lit(label).alias("tier"),
+                                F.count_if(tier == label).alias("contributors"))
+                       for label, _ in CONTRIBUTOR_TIERS])
+    return contributors.groupBy("repo").agg(counts.alias("_t")).select("repo", F.inline("_t"))
 
 
 def pareto(contributors: DataFrame) -> DataFrame:

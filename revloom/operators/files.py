@@ -6,8 +6,9 @@ from revloom.functions import paths, scalars
 from revloom.functions.lookups import EXTENSION_LANGUAGE
 from revloom.operators.clean import recent
 from revloom.plans.quantiles import count_quantiles
+from revloom.plans.runtime import settle
 from revloom.plans.skew import attach, top_n
-from revloom.plans.timeline import bin_start, fill_bins
+from revloom.plans.timeline import bin_start
 
 
 def file_churn(changes: DataFrame) -> DataFrame:
@@ -95,13 +96,14 @@ def extension_counts(changes: DataFrame, n: int | None = 10) -> DataFrame:
 
 
 def change_overview(changes: DataFrame) -> DataFrame:
-    """Total change rows, distinct files and the most active extension."""
-    per_file = changes.groupBy("repo", "filepath").agg(F.count(F.lit(1)).alias("_n"))
-    totals = per_file.groupBy("repo").agg(F.sum("_n").alias("total_file_changes"),
-                                          F.count(F.lit(1)).alias("unique_files"))
-    best = extension_counts(changes, 1).select(
-        "repo", F.col("file_extension").alias("most_active_extension"))
-    return totals.join(best, ["repo"], "left")
+    """Total change rows, distinct files and the most active extension, from one pass."""
+    per_file = change_counts(changes)
+    per_extension = per_file.groupBy("repo", paths.path_suffixes("filepath").alias("_e")).agg(
+        F.sum("change_count").alias("_n"), F.count(F.lit(1)).alias("_files"))
+    # most changes, then the first name: smallest (-count, name)
+    return per_extension.groupBy("repo").agg(
+        F.sum("_n").alias("total_file_changes"), F.sum("_files").alias("unique_files"),
+        F.min(F.struct((-F.col("_n")).alias("c"), "_e"))["_e"].alias("most_active_extension"))
 
 
 def monthly_extensions(dated: DataFrame, n: int | None = 8) -> DataFrame:
@@ -114,6 +116,7 @@ def monthly_extensions(dated: DataFrame, n: int | None = 8) -> DataFrame:
         F.count(F.lit(1)).alias("change_count"))
     if n is None:
         return cells.withColumnRenamed("bin", "month")
+    cells = settle(cells)  # small, and read three times below
     totals = cells.groupBy("repo", "file_extension").agg(
         F.sum("change_count").alias("change_count"))
     order = [F.col("change_count").desc(), F.col("file_extension").asc()]

@@ -7,6 +7,7 @@ from revloom.functions.lookups import (
     DEFAULT_MINOR_HINT, DEFAULT_ROLE, LANGUAGE_ROLE, MINOR_LANGUAGE_HINTS)
 from revloom.operators.files import change_counts
 from revloom.plans.quantiles import count_quantiles
+from revloom.plans.runtime import settle
 from revloom.plans.skew import attach, top_n
 
 # fixed values
@@ -103,6 +104,7 @@ def onboarding(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """The three lists in one table: (repo, list, topic, rank, filepath)."""
     no_topic = F.lit(None).cast("string").alias("topic")
     pick = ["rank", "filepath"]
+    metrics = settle(metrics)  # read by all three lists
     return (study_first(metrics).select("repo", F.lit("study first").alias("list"), "topic", *pick)
             .unionByName(good_first_files(metrics, thresholds).select(
                 "repo", F.lit("good first files").alias("list"), no_topic, *pick))

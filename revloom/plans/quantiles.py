@@ -27,8 +27,7 @@ def exact_quantiles(values: DataFrame, keys, value: str, probs: dict[str, float]
             .groupBy(*keys, F.col(value).cast("double").alias("_v"))
             .agg(F.count(F.lit(1)).alias("_n")))
     ranked = with_position(hist, keys, [F.col("_v").asc()], totals=["_n"])
-    size = values.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_total"))
+    size = ranked.groupBy(*keys).agg(F.max("running__n").alias("_total"))
     # a rank r (from 0) falls on the value whose run of ranks [end - n, end) holds it
     end, start = F.col("running__n"), F.col("running__n") - F.col("_n")
     sized = attach(ranked, size, keys, spread=["_v"])

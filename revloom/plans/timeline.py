@@ -1,6 +1,6 @@
 """Time bins with a gap-free spine."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.column import Column
 
 # bin -> (unit of date_trunc, step between bins)
@@ -28,10 +28,15 @@ def bin_end(start: Column, by: str) -> Column:
 def fill_bins(counts: DataFrame, keys, by: str, zero: list[str]) -> DataFrame:
     """Add the missing bins between the first and the last of each key, with zeros.
 
-    ``counts`` holds at most one row per key and bin in column ``bin``, so the spine is as small as
-    the calendar.
+    ``counts`` holds at most one row per key and bin in column ``bin``, so a key is no longer than the
+    calendar. Every row also produces the empty bins up to its successor; the input is read once.
     """
     keys = list(keys)
-    spine = (counts.groupBy(*keys).agg(F.min("bin").alias("_a"), F.max("bin").alias("_b"))
-             .select(*keys, F.explode(F.sequence("_a", "_b", F.expr(BINS[by][1]))).alias("bin")))
-    return spine.join(counts, [*keys, "bin"], "left").fillna(0, subset=zero)
+    following = F.lead("bin").over(W.partitionBy(*keys).orderBy("bin"))
+    reach = F.sequence("bin", "_next", F.expr(BINS[by][1]))
+    bins = F.when(F.col("_next").isNull(), F.array("bin")).otherwise(
+        F.slice(reach, F.lit(1), F.size(reach) - 1))
+    spread = counts.withColumn("_next", following).select(
+        *keys, *zero, F.posexplode(bins).alias("_place", "bin"))
+    return spread.select(*keys, "bin", *[
+        F.when(F.col("_place") == 0, F.col(c)).otherwise(F.lit(0)).alias(c) for c in zero])

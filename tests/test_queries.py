@@ -40,3 +40,6 @@ def test_query(spark, duck, key):
     names = [d[0] for d in result.description]
     assert sorted(found.columns) == sorted(names)
     assert ordered(found.columns, found.collect()) == ordered(names, result.fetchall())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert banned not in plan

@@ -166,6 +166,23 @@ def test_table_store(spark, simple, tmp_path, caplog):
     assert tables.read_tables(spark, root + "2").commits.first().repo == "007"
 
 
+def test_stored_tables_are_pruned(spark, simple, tmp_path):
+    """Repository filters prune folders, date filters and columns reach the scan."""
+    from revloom.operators import clean, files
+    c, f = simple
+    root = str(tmp_path / "store")
+    tables.write_tables(tables.History(commits=c, file_changes=f, file_presence=f.select(
+        "repo", "commit_hash", "filepath")), root)
+    history = tables.read_tables(spark, root)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+    dated = plan(clean.filter_dates(history.commits.filter("repo = 'r'"), "2020-01-02,2020-01-03"))
+    assert "GreaterThanOrEqual(date" in dated and "PartitionFilters: [isnotnull(repo" in dated
+    churn = plan(files.volatile_files(history.file_changes, 2))
+    assert "ReadSchema: struct<filepath:string>" in churn
+
+
 def test_csv(spark, tmp_path):
     df = spark.createDataFrame([("r", (1, "x,y"), ["a"])], "repo string, m struct<b:int,a:string>, l array<string>")
     path = str(tmp_path / "csv")
