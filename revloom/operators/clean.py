@@ -24,6 +24,14 @@ def conform(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
     return df.withColumnsRenamed(found)
 
 
+def to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of ``schema`` in its types, null where missing; further columns stay as they are."""
+    known = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+             for f in schema.fields]
+    names = set(schema.fieldNames())
+    return df.select(*known, *[c for c in df.columns if c not in names])
+
+
 def find_count_column(df: DataFrame) -> str | None:
     """First column whose name holds both "commit" and "count"."""
     return next((c for c in df.columns if "commit" in c.lower() and "count" in c.lower()), None)

@@ -25,18 +25,27 @@ SMALL_COMMIT = 200
 BLOCK = 512
 
 
-def _membership(changes: DataFrame, least: int) -> DataFrame:
-    """Distinct (repo, commit, file) of files with at least ``least`` commits (no other can pair),
-    with the size of the commit."""
-    # nearly unique keys: spread first, then drop the few repeats without combining before the shuffle
+def _distinct_changes(changes: DataFrame) -> DataFrame:
+    """Distinct (repo, commit, file), settled: the steps below read these narrow rows, not the changes.
+
+    The keys are nearly unique, so rows are spread first and the few repeats dropped after that.
+    """
     columns = ["repo", "commit_hash", "filepath"]
-    distinct = changes.select(*columns).repartition(*columns).distinct()
+    return settle(changes.select(*columns).dropna().repartition(*columns).distinct())
+
+
+def _commit_sizes(distinct: DataFrame) -> DataFrame:
+    """Files per commit, without commits of a single file."""
+    return settle(distinct.groupBy("repo", "commit_hash").agg(F.count(F.lit(1)).alias("size"))
+                  .filter(F.col("size") > 1))
+
+
+def _members(distinct: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """Rows of files with at least ``least`` commits (no other can pair), with the commit's size."""
     if least > 1:
         often = distinct.groupBy("repo", "filepath").agg(F.count(F.lit(1)).alias("_d")).filter(
             F.col("_d") >= least).select("repo", "filepath")
         distinct = distinct.join(often, ["repo", "filepath"], "left_semi")
-    sizes = distinct.groupBy("repo", "commit_hash").agg(F.count(F.lit(1)).alias("size")).filter(
-        F.col("size") > 1)
     return distinct.join(sizes, ["repo", "commit_hash"])
 
 
@@ -97,17 +106,19 @@ def file_coupling(changes: DataFrame, min_occurrences: int = 5, small_commit: in
                   block: int = BLOCK) -> DataFrame:
     """Unordered file pairs changed together in at least ``min_occurrences`` commits.
 
-    The memberships are settled because every step reads them; the steps for large commits are left out
-    where no commit is large.
+    The steps for large commits are left out where no commit is large.
     """
     least = max(1, min_occurrences)
-    members = settle(_membership(changes, least))
-    small = _small_pairs(members.filter(F.col("size") <= small_commit))
-    large = members.filter(F.col("size") > small_commit)
+    distinct = _distinct_changes(changes)
+    sizes = _commit_sizes(distinct)
+    members = _members(distinct, sizes, least)
     pair = ["repo", "file1", "file2"]
-    if large.isEmpty():
-        return small.filter(F.col("small") >= least).withColumnRenamed(
+    if sizes.filter(F.col("size") > small_commit).isEmpty():
+        return _small_pairs(members).filter(F.col("small") >= least).withColumnRenamed(
             "small", "times_changed_together")
+    members = settle(members)
+    small = _small_pairs(members.filter(F.col("size") <= small_commit))
+    large = members.filter(F.col("size") > small_commit)
     candidates = _large_candidates(large, least, block).unionByName(small.select(*pair)).distinct()
     counted = _count_large(candidates, large)
     total = (F.coalesce("small", F.lit(0)) + F.coalesce("large", F.lit(0)))

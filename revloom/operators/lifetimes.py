@@ -176,7 +176,10 @@ def reorganisations(changes: DataFrame, timeline: DataFrame, commits: DataFrame,
             .filter(F.col("total_files") > 0)
             .withColumn("move_ratio", scalars.ratio("files_moved", "total_files"))
             .filter(F.col("move_ratio") >= threshold))
-    rows = rows.filter(F.size("parents") > 0) if has_parents else rows.filter(F.col("seq") > 1)
+    later = F.col("seq") > 1
+    if has_parents:
+        later = F.when(F.col("parents").isNull(), later).otherwise(F.size("parents") > 0)
+    rows = rows.filter(later)
     return rows.select("repo", F.col("hash").alias("commit_hash"), "date",
                        text.subject_line("message").alias("message"), "files_moved", "move_ratio")
 

@@ -17,8 +17,6 @@ FILE_CHANGES = _struct(repo=_S, commit_hash=_S, filepath=_S, change_type=_S, ins
 
 FILE_PRESENCE = _struct(repo=_S, commit_hash=_S, filepath=_S)
 
-TREE = _struct(repo=_S, commit_hash=_S, filepath=_S, mode=_S, size=_L)
-
 BRANCHES = _struct(repo=_S, branch_name=_S, full_name=_S, is_current=_B, is_remote=_B,
                    last_commit_hash=_S, last_commit_date=_S, last_commit_author=_S, upstream=_S,
                    commit_count=_L, is_merged=_B)
@@ -58,6 +56,3 @@ EXPORT_DOCUMENT = _struct(
     tags=T.ArrayType(T.StructType(TAGS.fields[1:])),
     language_statistics=T.ArrayType(LANGUAGE_STATISTICS),
     extraction_date=_S)
-
-SNAPSHOT_TREE = _struct(repo=_S, snapshot_id=_S, path=_S, parent_path=_S, depth=T.IntegerType(),
-                        name=_S, type=_S, size=_L, mode=_S, content_preview=_S)

@@ -7,9 +7,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from revloom.operators import ancestry, commits as commit_ops, contributors, files, lifetimes
+from revloom.operators.clean import to_schema
 from revloom.operators.persistence import persistence_metrics
 from revloom.plans.runtime import settle
 from revloom.plans.skew import measured
+from revloom.schema import COMMITS, FILE_CHANGES, FILE_PRESENCE
 from revloom.sources import dumps
 
 log = logging.getLogger(__name__)
@@ -110,7 +112,7 @@ def write_tables(history: History, root: str) -> None:
 def read_tables(spark: SparkSession, root: str) -> History | None:
     """The stored tables, None unless all of them are there and readable."""
     found = {}
-    for name in STORED:
+    for name, schema in zip(STORED, (COMMITS, FILE_CHANGES, FILE_PRESENCE)):
         try:
             stored = spark.read.parquet(f"{root}/{name}").schema
         except AnalysisException as error:
@@ -119,7 +121,9 @@ def read_tables(spark: SparkSession, root: str) -> History | None:
         # repository names stay text even when they look like numbers
         typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "repo" else f
                               for f in stored.fields])
-        found[name] = spark.read.schema(typed).parquet(f"{root}/{name}")
+        # optional columns (parents, old_path) that were not stored stay away
+        known = T.StructType([f for f in schema.fields if f.name in typed.fieldNames()])
+        found[name] = to_schema(spark.read.schema(typed).parquet(f"{root}/{name}"), known)
     return History(**found)
 
 

@@ -155,6 +155,14 @@ def test_conform_and_flatten(spark):
     assert clean.flatten(df).columns == ["name", "total_commits", "m_a", "m_b"]
 
 
+def test_to_schema(spark):
+    from revloom.schema import FILE_PRESENCE
+    df = spark.createDataFrame([(7, "h", 1.5)], "repo int, commit_hash string, extra double")
+    fixed = clean.to_schema(df, FILE_PRESENCE)
+    assert tuple(fixed.first()) == ("7", "h", None, 1.5)
+    assert fixed.columns == ["repo", "commit_hash", "filepath", "extra"]
+
+
 def test_exclude_keeps_missing_paths(spark):
     df = spark.createDataFrame([("a.png",), ("b.py",), (None,)], "filepath string")
     assert rows(clean.exclude_paths(df, [r"\.png$"]), "filepath") == [("b.py",), (None,)]

@@ -172,7 +172,8 @@ def test_bulk_commit_lists_no_candidates(make):
     """A bulk commit that is the largest one of all its files is not expanded into pairs."""
     changes = [("bulk", f"f{i}") for i in range(300)]
     changes += [(f"h{i}", f"f{i}") for i in range(300)]
-    members = coupling._membership(make.changes(changes), 2)
+    distinct = coupling._distinct_changes(make.changes(changes))
+    members = coupling._members(distinct, coupling._commit_sizes(distinct), 2)
     big = members.filter(F.col("size") > 200)
     assert big.count() == 300
     assert coupling._large_candidates(big, 2, 64).count() == 0
