@@ -247,7 +247,7 @@ def _report(key, columns, sql):
 
 
 @_report("A24_J7_file_metrics", "repo filepath commit_count:l last_modified_date:t mean_asi:e "
-         "days_since_last_change:l impact_score:d", "SELECT * FROM fm")
+         "days_since_last_change:l impact_score:e", "SELECT * FROM fm")
 def a24(t):
     return report.file_metrics(t.changes, t.metrics)
 
@@ -271,7 +271,8 @@ def a26_volatile(t):
     return report.volatile_list(_metrics(t), report.adaptive_thresholds(t.orders, t.changes))
 
 
-@_report("A26_hotspots", "repo rank:l filepath commit_count:l impact_score:d", "SELECT * FROM hot")
+@_report("A26_hotspots", "repo rank:l filepath commit_count:l impact_score:e", """
+SELECT round(impact_score, 9) AS impact_score, * EXCLUDE (impact_score) FROM hot""")
 def a26_hot(t):
     return report.hotspot_list(_metrics(t))
 
