@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from revloom.operators.lifetimes import head_files
 from revloom.plans.runtime import scratch_path
 from revloom.sources.dumps import FIELD, RECORD
 
@@ -51,8 +52,7 @@ def write_log(t, kinds=("log", "numstat")) -> str:
 
 
 def write_tree(t) -> str:
-    """The tree of every repository's head, cut into one record per top directory."""
-    from revloom.operators.lifetimes import head_files
+    """The tree of every repository's head, one record per file, each with a submodule line to skip."""
     root = scratch_path(t.spark, "dump")
     line = F.concat(F.lit("100644 blob 0000  "), F.length("filepath").cast("string"), F.lit("\t"),
                     "filepath")

@@ -84,7 +84,7 @@ def top_contributors(contributors: DataFrame, n: int = 10) -> DataFrame:
     return top_n(contributors, ["repo"], order, n, spread=tie).select("repo", "rank", *shown)
 
 
-def contributor_tier(count) -> F.col:
+def contributor_tier(count):
     c = F.col(count) if isinstance(count, str) else count
     expr = F.when(c >= CONTRIBUTOR_TIERS[0][1], CONTRIBUTOR_TIERS[0][0])
     for label, least in CONTRIBUTOR_TIERS[1:]:

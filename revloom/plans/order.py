@@ -64,7 +64,7 @@ def carry_last(rows: DataFrame, keys, order, value: str, out: str) -> DataFrame:
 SEGMENT = 1 << 20
 
 
-def segment_of(position) -> F.col:
+def segment_of(position):
     """Number of the segment that holds a dense position."""
     return F.floor(F.col(position) / F.lit(SEGMENT)) if isinstance(position, str) else (
         F.floor(position / F.lit(SEGMENT)))
