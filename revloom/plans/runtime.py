@@ -39,3 +39,34 @@ def settle(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Settled tables of one computation.
+
+    Used as a context: on leaving it every table is removed but those settled with ``keep=True``, which
+    a lazy result still reads.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, []
+
+    def settle(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        path = scratch_path(self.spark, "table")
+        if not keep:
+            self._paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        for path in self._paths:
+            remove_path(self.spark, path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library in whatever store holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
