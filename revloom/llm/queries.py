@@ -1,16 +1,22 @@
 """Registered queries over training data: one per operator, and the pipeline."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 import corpus_pipeline
 from revloom.catalog.registry import Query
-from revloom.llm import decontaminate, mixing, ngram_join, quality, secrets
+from revloom.llm import (chat, decontaminate, html_text, licenses, mixing, ngram_join, quality, secrets,
+                         vector_index, warc)
+from revloom.plans.runtime import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark, sf_dir):
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_secret_scan(spark, sf_dir):
     return secrets.secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -19,6 +25,38 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_chat_format(spark, sf_dir):
+    """Every conversation is a tree whose turns reply to the turn before; one more, -7, holds control strings."""
+    told = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    rows = told.unionByName(extra)
+    before = F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn"))
+    messages = rows.select(
+        F.col("conv_id").alias("tree"), F.col("turn").alias("id"), before.alias("parent"), "role", "text",
+        F.lit(0.0).alias("score"))
+    read = chat.read_back(chat.formatted_conversations(messages))
+    return read.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
+                       "formatted_chars")
+
+
+def op5_license_scan(spark, sf_dir):
+    return licenses.licences(_table(spark, sf_dir, "documents"))
+
+
+def op6_warc_archive(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc.write_pages(_table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
+def op7_multi_index_search(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vector_index.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op8_pfair_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +71,10 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 def llm_queries() -> dict[str, Query]:
     runs = {
+        "op1_main_text": op1_main_text, "op4_chat_format": op4_chat_format, "op5_license_scan": op5_license_scan,
+        "op6_warc_archive": op6_warc_archive, "op7_multi_index_search": op7_multi_index_search,
         "op2_secret_scan": op2_secret_scan, "op3_decontamination": op3_decontamination,
         "op8_pfair_mixing": op8_pfair_mixing, "op9_compression_quality": op9_compression_quality,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "pipeline": corpus_pipeline.run}
-    return {key: Query(run, None) for key, run in runs.items()}
+    sql = {"op5_license_scan": licenses.licences_sql()}
+    return {key: Query(run, sql.get(key)) for key, run in runs.items()}
