@@ -22,7 +22,6 @@ results and count as pages of their own. Pages are parsed in full length; other
 
 import html
 import re
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
@@ -69,11 +68,17 @@ HEADER_WORDS = frozenset(("header",))
 MAIN_TAGS = frozenset(("article", "main"))
 
 
+_HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)"
+
+
 def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").removeprefix("www.")
-    except ValueError:
-        return ""
+    m = re.match(_HOST, url or "")
+    return m[1].lower() if m else ""
+
+
+def _host(url: str):
+    """SQL twin of :func:`host_of`."""
+    return F.coalesce(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit(""))
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -203,38 +208,49 @@ def _branches(path: str):
             yield "/".join(parts[:k])
 
 
-_PARSED = ("page_id {kind}, url string, host string, spread long, blocks array<struct<path: array<long>, text: string, "
-           "noise: boolean, main: boolean>>, nodes array<struct<node: long, content: long, shape: long>>")
+def _host_nodes(batches):
+    """(host, node, content, shape): nodes of each page outside main and noise, with hashes of their text and
+    of the paths below them."""
+    for batch in batches:
+        rows = []
+        for url, source in zip(text_of(batch, "url"), text_of(batch, "html")):
+            host = host_of(url)
+            below: dict[str, list] = {}
+            for path, text, noise, main in page_blocks(source):
+                if not (noise or main):
+                    for branch in _branches(path):
+                        below.setdefault(branch, []).append((path, text))
+            rows += [(host, _hash(branch), _hash("\n".join(t for _, t in found)),
+                      _hash("\n".join(p for p, _ in found))) for branch, found in below.items()]
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+            names=["host", "node", "content", "shape"])
 
 
-def _parse(batches):
-    """Blocks of each page, and its nodes outside main and noise with hashes of content and shape."""
+def kept_text(source: str | None, cut: frozenset) -> str:
+    """Main text of a page, given the nodes that its host cuts."""
+    clean = [b for b in page_blocks(source) if not b[2]]
+    inside = [text for _, text, _, main in clean if main]
+    if inside:
+        # a page with a main element has its text there
+        return "\n".join(inside)
+    kept = [text for path, text, _, _ in clean if not any(_hash(b) in cut for b in _branches(path))]
+    return "\n".join(kept or [text for _, text, _, _ in clean])
+
+
+def _extract(batches):
     for batch in batches:
-        hosts, blocks, nodes, spread = [], [], [], []
-        for page, url, source in zip(text_of(batch, "page_id"), text_of(batch, "url"), text_of(batch, "html")):
-            found = page_blocks(source)
-            below: dict[str, list] = {}
-            own = []
-            for path, text, noise, main in found:
-                judged = [] if noise or main else list(_branches(path))
-                for branch in judged:
-                    below.setdefault(branch, []).append((path, text))
-                own.append({"path": [_hash(b) for b in judged], "text": text, "noise": noise, "main": main})
-            hosts.append(host_of(url)), blocks.append(own), spread.append(_hash(f"{page} {url}"))
-            nodes.append([{"node": _hash(branch), "content": _hash("\n".join(t for _, t in rows)),
-                           "shape": _hash("\n".join(p for p, _ in rows))} for branch, rows in below.items()])
-        block = pa.struct([("path", pa.list_(pa.int64())), ("text", pa.string()), ("noise", pa.bool_()),
-                           ("main", pa.bool_())])
-        node = pa.struct([("node", pa.int64()), ("content", pa.int64()), ("shape", pa.int64())])
+        texts = [kept_text(source, frozenset(cut or ())) for source, cut in zip(
+            text_of(batch, "html"), text_of(batch, "cut"))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()),
-             pa.array(spread, pa.int64()), pa.array(blocks, pa.list_(block)), pa.array(nodes, pa.list_(node))],
-            names=["page_id", "url", "host", "spread", "blocks", "nodes"])
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+             pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def _entropy(nodes: DataFrame, value: str) -> DataFrame:
+def _entropy(rows: DataFrame, value: str) -> DataFrame:
     """(host, node, pages, entropy of ``value``), from counts of equal values."""
-    counts = nodes.groupBy("host", "node", value).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("host", "node", value).agg(F.sum("n").alias("n"))
     total, inside = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     # -sum p log p = log N - sum n log n / N, to the base N
     return counts.groupBy("host", "node").agg(
@@ -243,31 +259,33 @@ def _entropy(nodes: DataFrame, value: str) -> DataFrame:
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) from parsed pages: the larger of content and presentation entropy, where
+    """(host, node, pages, importance) of pages (url, html): the larger of content and presentation entropy, where
     presentation counts half, since a list of varying length may still say the same."""
-    nodes = pages.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
-    content = _entropy(nodes, "content")
-    shape = _entropy(nodes, "shape").select("host", "node", F.col("e").alias("shape"))
+    nodes = pages.select("url", "html").mapInArrow(
+        _host_nodes, "host string, node long, content long, shape long")
+    counts = nodes.groupBy("host", "node", "content", "shape").agg(F.count(F.lit(1)).alias("n"))
+    content = _entropy(counts, "content")
+    shape = _entropy(counts, "shape").select("host", "node", F.col("e").alias("shape"))
     return content.join(shape, ["host", "node"]).select(
         "host", "node", "pages", F.greatest("e", F.col("shape") / 2).alias("importance"))
 
 
 def main_text(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page. Settles the parsed pages when called."""
+    """(page_id, url, text, n_chars) of every page.
+
+    Pages are parsed twice, for the statistics and for the text, so that no parsed copy of them is stored. What
+    the hosts cut is settled when called; it is small, and the planner sees its size: either it goes to the pages
+    or the pages are dealt by host and salt.
+    """
     spark = pages.sparkSession
-    kind = pages.schema["page_id"].dataType.simpleString()
     with Scratch(spark) as scratch:
-        parsed = scratch.settle(pages.select("page_id", "url", "html").mapInArrow(
-            _parse, _PARSED.format(kind=kind)))
-        low = node_importance(parsed).filter(
+        rated = scratch.settle(node_importance(pages))
+        low = scratch.settle(rated.filter(
             (F.col("importance") < threshold) & (F.col("pages") >= least_pages)).groupBy("host").agg(
-            F.collect_set("node").alias("cut"))
-        joined = attach(parsed.drop("nodes"), scratch.settle(low), ["host"], spread=["spread"])
-        clean = F.filter("blocks", lambda b: ~b["noise"])
-        inside = F.filter(clean, lambda b: b["main"])
-        kept = F.filter(clean, lambda b: b["main"] | F.col("cut").isNull() | ~F.arrays_overlap(b["path"], F.col("cut")))
-        # a page with a main element has its text there
-        chosen = F.when(F.size(inside) > 0, inside).when(F.size(kept) > 0, kept).otherwise(clean)
-        text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
-        return scratch.settle(joined.select("page_id", "url", text.alias("text")).withColumn(
-            "n_chars", F.length("text").cast("long")), keep=True)
+            F.collect_set("node").alias("cut")), keep=True)
+    # the host by the same rule as in the first pass
+    own = pages.select("page_id", "url", "html", _host("url").alias("host"))
+    joined = attach(own, low, ["host"], spread=["url", "page_id"])
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return joined.select("page_id", "url", "html", "cut").mapInArrow(
+        _extract, f"page_id {kind}, url string, text string, n_chars long")
