@@ -71,14 +71,19 @@ def _phases() -> str:
             "st -> st.out)")
 
 
-def schedule(sources: DataFrame) -> DataFrame:
-    """(source, block, slot, release, deadline) for every block of ``sources`` (source, blocks, parts).
+def schedule(sources: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
+    """(source, block, slot, release, deadline) for every block of ``sources`` (source, blocks, weight).
 
     ``release`` and ``deadline`` are slots of the whole order: release <= slot < deadline.
     """
-    row = sources.filter("blocks > 0").agg(F.array_sort(F.collect_list(F.struct(
+    given = sources.filter("blocks > 0").agg(F.array_sort(F.collect_list(F.struct(
         F.col("source").alias("src"), F.col("blocks").cast("long").alias("n"),
-        F.col("parts").cast("long").alias("k")))).alias("s")).filter(F.size("s") > 0)
+        F.greatest("weight", F.lit(0.0)).alias("w")))).alias("g")).filter(F.size("g") > 0)
+    # weights in whole parts of the resolution, one at least
+    part = f"greatest(1L, CAST(round(coalesce(x.w, 0.0D) / total * {resolution}) AS BIGINT))"
+    row = given.withColumn("total", F.expr(
+        "aggregate(g, 0.0D, (t, x) -> t + coalesce(x.w, 0.0D), t -> IF(t > 0, t, 1.0D))")).select(
+        F.expr(f"transform(g, x -> named_struct('src', x.src, 'n', x.n, 'k', {part}))").alias("s"))
     phases = row.select("s", F.posexplode(F.expr(_phases())).alias("phase", "o"))
     # blocks that each source has in each phase
     shares = phases.select("phase", F.col("o.start").alias("start"), F.col("o.period").alias("period"), F.posexplode(
@@ -113,18 +118,13 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, block_rows: int
     given = (smoothed_weights(rows) if weights is None else weights).select(
         source, F.when(F.col("weight") > 0, F.col("weight").cast("double")).alias("weight")).groupBy(
         "source").agg(F.max("weight").alias("weight"))
-    counted = rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).join(given, "source", "left")
-    total = counted.agg(F.sum("weight").alias("total"))
-    # one row of totals: a scalar subquery in SQL terms
-    parts = F.greatest(F.lit(1), F.round(F.coalesce(
-        F.col("weight") / F.col("total"), F.lit(0.0)) * resolution)).cast("long")
-    sources = counted.join(F.broadcast(total)).select(
-        "source", F.ceil(F.col("rows") / F.lit(block_rows)).alias("blocks"), parts.alias("parts"))
+    sources = rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).join(given, "source", "left").select(
+        "source", F.ceil(F.col("rows") / F.lit(block_rows)).alias("blocks"), "weight")
 
     numbered = with_position(rows.withColumn("_h", F.xxhash64("doc_id")), ["source"],
                              [F.col("doc_id").isNotNull(), F.col("_h"), F.col("doc_id")])
     at = F.col("position") - 1
     cut = numbered.select("doc_id", "source", F.expr(f"(position - 1) DIV {block_rows}").alias("block"),
                           (at % block_rows).cast("int").alias("place"))
-    return cut.join(schedule(sources), ["source", "block"]).select(
+    return cut.join(schedule(sources, resolution), ["source", "block"]).select(
         "doc_id", "source", "block", "slot", "place", "release", "deadline")
