@@ -23,6 +23,7 @@ from revloom.plans.order import with_position
 
 BLOCK_ROWS = 100
 RESOLUTION = 1000
+RUN = 1 << 16
 
 
 def smoothed_weights(documents: DataFrame, power: float = 0.5) -> DataFrame:
@@ -89,16 +90,20 @@ def schedule(sources: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
     shares = phases.select("phase", F.col("o.start").alias("start"), F.col("o.period").alias("period"), F.posexplode(
         F.arrays_zip(F.col("s.src").alias("src"), F.col("o.first").alias("first"),
                      F.col("o.served").alias("served"), F.col("o.parts").alias("parts"))).alias("i", "e"))
-    blocks = shares.filter("e.served > 0").select(
+    runs = shares.filter("e.served > 0").select(
         "phase", "start", "period", "i", F.col("e.src").alias("source"), F.col("e.first").alias("first"),
-        F.col("e.parts").alias("parts"),
-        F.explode(F.sequence(F.col("e.first"), F.col("e.first") + F.col("e.served") - 1)).alias("block"))
+        F.col("e.parts").alias("parts"), (F.col("e.first") + F.col("e.served") - 1).alias("last"))
+    # in two steps, so that no row makes an array of all blocks of a source
+    cut = runs.select("*", F.explode(F.sequence("first", "last", F.lit(RUN))).alias("from"))
+    blocks = cut.select("phase", "start", "period", "i", "source", "first", "parts", F.explode(
+        F.sequence(F.col("from"), F.least(F.col("from") + RUN - 1, "last"))).alias("block"))
     slots = phases.select("phase", F.posexplode("o.slots").alias("at", "i"))
     # the m-th slot of a source within the period
     nth = slots.groupBy("phase", "i").agg(F.array_sort(F.collect_list("at")).alias("own")).select(
         "phase", F.col("i").cast("int").alias("i"), F.posexplode("own").alias("m", "at"))
     local = F.col("block") - F.col("first")
-    placed = blocks.withColumn("m", (local % F.col("parts")).cast("int")).join(nth, ["phase", "i", "m"])
+    placed = blocks.withColumn("m", (local % F.col("parts")).cast("int")).join(
+        nth.hint("merge"), ["phase", "i", "m"])
     whole = F.expr("(block - first) DIV parts * period + start")
     return placed.select(
         "source", "block", (whole + F.col("at")).alias("slot"),
@@ -126,5 +131,6 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, block_rows: int
     at = F.col("position") - 1
     cut = numbered.select("doc_id", "source", F.expr(f"(position - 1) DIV {block_rows}").alias("block"),
                           (at % block_rows).cast("int").alias("place"))
-    return cut.join(schedule(sources, resolution), ["source", "block"]).select(
+    # blocks grow with the documents, which the planner cannot see: not to be broadcast
+    return cut.join(schedule(sources, resolution).hint("merge"), ["source", "block"]).select(
         "doc_id", "source", "block", "slot", "place", "release", "deadline")
