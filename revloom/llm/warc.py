@@ -9,7 +9,8 @@
 the headers of a record first; record types and header values that the query asks for (``=``, ``IN``, prefix, null tests on
 the columns below, pushed down by Spark where ``spark.sql.python.filterPushdown.enabled`` is on) are tested on them, and the
 payload of an unwanted record is skipped by its length without being decoded. So is every payload if the schema that is
-given has no ``payload``. Archives may be plain or have one gzip member per record; members written here hold their
+given has no ``payload``. Spark 4.1 keeps what was pushed to a loaded table, also for later queries over the same DataFrame: load
+anew for each query. Archives may be plain or have one gzip member per record; members written here hold their
 length ("sl" extra field of the WARC standard), so that a whole member is skipped unread.
 
 **Writing.** Each task writes one file of its own name; the driver then writes a list of the files of finished tasks. Readers take
