@@ -86,13 +86,16 @@ def _large_candidates(members: DataFrame, least: int, block: int) -> DataFrame:
             .distinct())
 
 
-def _count_large(candidates: DataFrame, members: DataFrame) -> DataFrame:
-    """Common large commits of each candidate pair."""
+def _count_large(candidates: DataFrame, members: DataFrame, small: DataFrame, least: int) -> DataFrame:
+    """Common large commits of each candidate pair that can still reach ``least``: its small commits and
+    the large ones of its lighter file must suffice."""
     links = members.select("repo", "commit_hash", "filepath")
     degrees = links.groupBy("repo", "filepath").agg(F.count(F.lit(1)).alias("_d"))
     d1 = degrees.select("repo", F.col("filepath").alias("file1"), F.col("_d").alias("_d1"))
     d2 = degrees.select("repo", F.col("filepath").alias("file2"), F.col("_d").alias("_d2"))
-    sized = candidates.join(d1, ["repo", "file1"]).join(d2, ["repo", "file2"])
+    sized = candidates.join(small, ["repo", "file1", "file2"], "left").join(
+        d1, ["repo", "file1"]).join(d2, ["repo", "file2"]).filter(
+        F.coalesce("small", F.lit(0)) + F.least("_d1", "_d2") >= least)
     start = F.when(F.col("_d1") <= F.col("_d2"), F.col("file1")).otherwise(F.col("file2"))
     other = F.when(F.col("_d1") <= F.col("_d2"), F.col("file2")).otherwise(F.col("file1"))
     walk = sized.select("repo", "file1", "file2", start.alias("filepath"), other.alias("_other"))
@@ -120,7 +123,7 @@ def file_coupling(changes: DataFrame, min_occurrences: int = 5, small_commit: in
     small = _small_pairs(members.filter(F.col("size") <= small_commit))
     large = members.filter(F.col("size") > small_commit)
     candidates = _large_candidates(large, least, block).unionByName(small.select(*pair)).distinct()
-    counted = _count_large(candidates, large)
+    counted = _count_large(candidates, large, small, least)
     total = (F.coalesce("small", F.lit(0)) + F.coalesce("large", F.lit(0)))
     return (small.join(counted, pair, "full").withColumn("times_changed_together", total)
             .filter(F.col("times_changed_together") >= least)

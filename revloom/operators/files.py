@@ -147,7 +147,8 @@ def top_changed_files(changes: DataFrame, n: int = 20) -> DataFrame:
 
 def change_frequency_summary(changes: DataFrame) -> DataFrame:
     """Files, files at or above the 95th percentile, most changed file and its count."""
-    counts = change_counts(changes)
+    # settled: the quantiles and the result read it, and it is far smaller than the changes
+    counts = settle(change_counts(changes))
     cut = count_quantiles(counts, ["repo"], "change_count", {"_p95": 0.95})
     return (attach(counts, cut, ["repo"], spread=["filepath"]).groupBy("repo").agg(
         F.count(F.lit(1)).alias("total_hotspots"),
@@ -160,7 +161,7 @@ def change_frequency_summary(changes: DataFrame) -> DataFrame:
 
 def file_heat(changes: DataFrame) -> DataFrame:
     """Stable up to the median count, Active to the 80th, Hot to the 95th percentile, else Critical."""
-    counts = change_counts(changes)
+    counts = settle(change_counts(changes))
     cuts = count_quantiles(counts, ["repo"], "change_count",
                            {"_p50": 0.5, "_p80": 0.8, "_p95": 0.95})
     c = F.col("change_count")

@@ -9,6 +9,7 @@ not ancestry, give a listing to the operators that take one.
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from revloom.functions import scalars, text
+from revloom.operators import ancestry
 from revloom.plans.order import SEGMENT, running_sum, segment_of, with_position
 from revloom.plans.runtime import settle
 from revloom.plans.skew import attach, measured
@@ -22,6 +23,20 @@ def commit_sequence(commits: DataFrame) -> DataFrame:
                                 ).withColumnRenamed("position", "seq"))
 
 
+def first_parent_sequence(commits: DataFrame, heads: DataFrame) -> DataFrame:
+    """(repo, hash, date, seq): the first-parent chain of one head per repository, numbered from its root.
+
+    ``heads``: (repo, hash). On a branched history this is the order in which the head's tree came about; lifetimes
+    need changes against the first parent then (a log with ``--first-parent -m``). Other commits are left out.
+    """
+    edges = ancestry.parent_edges(commits).filter(F.col("place") == 0)
+    chain = ancestry.reachable(edges, heads.select("repo", "hash")).select("repo", "hash").distinct()
+    steps = ancestry.depths(edges, commits)
+    numbered = commits.select("repo", "hash", "date").dropDuplicates(["repo", "hash"]).join(
+        chain, ["repo", "hash"], "left_semi").join(steps, ["repo", "hash"])
+    return settle(numbered.select("repo", "hash", "date", (F.col("depth") + 1).alias("seq")))
+
+
 def _events(changes: DataFrame, sequence: DataFrame) -> DataFrame:
     """One row per (repo, filepath, seq) with ``open`` 1 or 0, kept in (repo, file, segment) parts."""
     is_open = (F.col("change_type") != "D").cast("int")
@@ -176,7 +191,12 @@ def reorganisations(changes: DataFrame, timeline: DataFrame, commits: DataFrame,
             .filter(F.col("total_files") > 0)
             .withColumn("move_ratio", scalars.ratio("files_moved", "total_files"))
             .filter(F.col("move_ratio") >= threshold))
-    later = F.col("seq") > 1
+    if "seq" in rows.columns:
+        later = F.col("seq") > 1
+    else:
+        first = commits.groupBy("repo").agg(F.min(F.struct("date", "hash")).alias("_first"))
+        rows = attach(rows, first, ["repo"], spread=["hash"])
+        later = F.col("hash") != F.col("_first.hash")
     if has_parents:
         later = F.when(F.col("parents").isNull(), later).otherwise(F.size("parents") > 0)
     rows = rows.filter(later)

@@ -1,8 +1,9 @@
 """Persistence metrics of commits."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from revloom.functions import scalars
+from revloom.plans.order import carry_last, with_position
 from revloom.plans.skew import attach_measured
 
 
@@ -34,16 +35,24 @@ def persistence_metrics(commits: DataFrame) -> DataFrame:
 def asi_trend(metrics: DataFrame, days: int = 30, asi: str = "asi") -> DataFrame:
     """Trailing mean of ``asi`` over (t - days, t], one row per distinct time.
 
-    Rows shrink to one per time first. Time is cut into blocks of ``days``; every row is also copied
-    to the next block, so that each block holds all it needs and a repository spreads over its blocks.
+    Rows shrink to one per time first. A trailing sum is the running sum at t less the one as of
+    t - days; both come from range-partitioned orders, so the work is linear and a hot repository is
+    spread. Sums are decimals, so that a difference loses nothing.
     """
-    moments = (metrics.filter(F.col(asi).isNotNull()).groupBy("repo", "date").agg(
-        F.sum(asi).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("_t", F.unix_micros("date")))
+    moments = metrics.filter(F.col(asi).isNotNull()).groupBy("repo", "date").agg(
+        F.sum(F.col(asi).cast("decimal(24,12)")).alias("sum"), F.count(F.lit(1)).alias("n")).withColumn(
+        "_t", F.unix_micros("date"))
+    summed = with_position(moments, ["repo"], [F.col("_t").asc()], totals=["sum", "n"])
     span = days * scalars.DAY_MICROS
-    block = F.floor(F.col("_t") / F.lit(span))
-    copies = moments.withColumn("_own", block).withColumn(
-        "_block", F.explode(F.array(block, block + 1)))
-    window = W.partitionBy("repo", "_block").orderBy("_t").rangeBetween(-(span - 1), 0)
-    return (copies.withColumn("asi_trend", F.sum("_sum").over(window) / F.sum("_n").over(window))
-            .filter(F.col("_own") == F.col("_block")).select("repo", "date", "asi_trend"))
+    totals = F.struct(F.col("running_sum").alias("sum"), F.col("running_n").alias("n"))
+    # every moment is told at its own time (first) and asks at t - days
+    told = summed.select("repo", F.col("_t").alias("at"), F.lit(0).alias("kind"), totals.alias("known"),
+                         F.lit(None).cast("timestamp").alias("date"), totals.alias("own"))
+    asks = summed.select("repo", (F.col("_t") - F.lit(span)).alias("at"), F.lit(1).alias("kind"),
+                         F.lit(None).cast(told.schema["known"].dataType).alias("known"), "date",
+                         totals.alias("own"))
+    before = carry_last(told.unionByName(asks), ["repo"], [F.col("at").asc(), F.col("kind").asc()],
+                        "known", "before").filter(F.col("kind") == 1)
+    total = (F.col("own.sum") - F.coalesce(F.col("before.sum"), F.lit(0))).cast("double")
+    count = F.col("own.n") - F.coalesce(F.col("before.n"), F.lit(0))
+    return before.select("repo", "date", (total / count).alias("asi_trend"))

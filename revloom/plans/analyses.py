@@ -59,10 +59,11 @@ def analysis(name: str, *requires: str):
 
 def filtered(history: History, config: AnalysisConfig) -> History:
     """Date range, path exclusion and the least number of changes per file, in this order."""
-    keep_commits = clean.filter_dates(history.commits, config.date_range)
+    commits_in = history.commits
+    keep_commits = None if commits_in is None else clean.filter_dates(commits_in, config.date_range)
     changes = history.file_changes
     if changes is not None:
-        if config.date_range and "date" not in changes.columns:
+        if config.date_range and "date" not in changes.columns and commits_in is not None:
             changes = files.date_changes(changes, history.commits)
         changes = clean.filter_dates(changes, config.date_range)
         changes = clean.exclude_paths(changes, config.exclude_paths)

@@ -4,7 +4,7 @@ import logging
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revloom.functions import paths
+from revloom.functions import paths, text
 from revloom.operators import files
 from revloom.operators.clean import flatten, parse_dates
 from revloom.schema import EXPORT_DOCUMENT
@@ -49,6 +49,9 @@ def history_from_documents(documents: DataFrame) -> History:
         {c: c.removeprefix("architectural_metrics_") for c in commits.columns})
     changes = parse_dates(section(documents, "file_changes"), ["commit_date"],
                           required="commit_date")
+    # R100 and the like lose their score
+    changes = changes.withColumn("change_type", F.coalesce(
+        text.change_kind("change_type"), F.col("change_type")))
     changes = changes.withColumnsRenamed({"file_path": "filepath", "commit_date": "date",
                                           "old_file_path": "old_path"}).filter(
         F.col("filepath").isNotNull() & (F.col("filepath") != ""))

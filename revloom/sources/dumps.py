@@ -4,8 +4,8 @@ Layout: ``<root>/<kind>/repo=<name>/<files>`` with kind log, numstat, tree, refs
 numstat and tree every record starts with the byte 0x1E and its fields end with 0x1F, then path lines
 follow. No message or name can break the records, and large dumps split at them.
 
-    log      git log --reverse --name-status --pretty=format:%x1e%H%x1f%an%x1f%ae%x1f%ct%x1f%P%x1f%B%x1f
-    numstat  git log --numstat --pretty=format:%x1e%H%x1f
+    log      git log --all --reverse -m -M -C --name-status --pretty=format:%x1e%H%x1f%an%x1f%ae%x1f%ct%x1f%P%x1f%B%x1f
+    numstat  git log --all -m -M -C --numstat --pretty=format:%x1e%H%x1f
     tree     per commit: printf '\\x1e%s\\x1f\\n' $commit; git ls-tree -r --long $commit
     refs     git for-each-ref refs/heads refs/remotes --format=
              %(refname:short)%00%(objectname)%00%(committerdate:iso)%00%(authorname)%00
@@ -13,10 +13,13 @@ follow. No message or name can break the records, and large dumps split at them.
     tags     git tag -l --format=%(refname:short)%00%(objectname)%00%(taggerdate:iso)%00
              %(taggername)%00%(subject)
 
+With ``-m`` a merge is listed once per parent. For the history of one branch along first parents write the log with
+``--first-parent -m`` and that branch instead of ``--all``.
+
 ``read_pipe_log`` reads the older layout with ``|`` between header fields, line by line.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from revloom.functions import text
 from revloom.plans.runtime import settle
@@ -30,14 +33,27 @@ def _records(spark: SparkSession, root: str, kind: str, separator: str = RECORD)
     return rows.filter(F.trim("value") != "")
 
 
+def _readable_date(p) -> Column:
+    return F.timestamp_seconds(p[3].try_cast("long"))
+
+
+def rejected_records(spark: SparkSession, root: str) -> DataFrame:
+    """(repo, rejected): log records that :func:`read_log` skips, with fields or a time that cannot be read."""
+    rows = _records(spark, root, "log").select("repo", F.split("value", FIELD, 7).alias("p"))
+    bad = (F.size("p") != 7) | _readable_date(F.col("p")).isNull()
+    return rows.filter(bad).groupBy("repo").agg(F.count(F.lit(1)).alias("rejected"))
+
+
 def read_log(spark: SparkSession, root: str) -> DataFrame:
-    """One row per log record: header fields and the block of path lines."""
+    """One row per log record: header fields and the block of path lines. Malformed records are skipped;
+    :func:`rejected_records` counts them."""
     parts = F.split("value", FIELD, 7)
-    rows = _records(spark, root, "log").select("repo", parts.alias("p")).filter(F.size("p") == 7)
+    rows = _records(spark, root, "log").select("repo", parts.alias("p")).filter(
+        F.when(F.size("p") == 7, _readable_date(F.col("p")).isNotNull()).otherwise(False))
     return rows.select(
         "repo", F.trim(F.col("p")[0]).alias("hash"), F.col("p")[1].alias("author_name"),
         F.col("p")[2].alias("author_email"),
-        F.timestamp_seconds(F.col("p")[3].try_cast("long")).alias("date"),
+        _readable_date(F.col("p")).alias("date"),
         F.filter(F.split(F.col("p")[4], " "), lambda x: x != "").alias("parents"),
         F.regexp_replace(F.col("p")[5], r"\s+$", "").alias("message"), F.col("p")[6].alias("body"))
 

@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from revloom.operators import ancestry, commits as commit_ops, contributors, files, lifetimes
 from revloom.operators.clean import to_schema
 from revloom.operators.persistence import persistence_metrics
-from revloom.plans.runtime import settle
+from revloom.plans.runtime import remove_path, settle
 from revloom.plans.skew import measured
 from revloom.schema import COMMITS, FILE_CHANGES, FILE_PRESENCE
 from revloom.sources import dumps
 
 log = logging.getLogger(__name__)
 
-STORED = ("commits", "file_changes", "file_presence")
+# table -> its schema; the last ones may be absent
+REQUIRED = {"commits": COMMITS, "file_changes": FILE_CHANGES}
+OPTIONAL = {"file_presence": FILE_PRESENCE, "branches": None, "tags": None}
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,24 @@ def limit_history(history: History, newest: int | None) -> History:
     return History(commits=kept, **cut, branches=history.branches, tags=history.tags)
 
 
+def branch_history(history: History, wanted: str | None = None, first_parent: bool = False) -> History:
+    """The commits and changes that the chosen branch of each repository reaches (``wanted``, else the first of
+    the usual names, else the current one); with ``first_parent`` along first parents only."""
+    choice = ancestry.choose_branch(history.branches, wanted)
+    heads = history.branches.withColumnRenamed("branch_name", "branch").join(choice, ["repo", "branch"]).select(
+        "repo", F.col("last_commit_hash").alias("hash")).distinct()
+    edges = ancestry.parent_edges(history.commits)
+    if first_parent:
+        edges = edges.filter(F.col("place") == 0)
+    # one head per repository: one row per commit
+    inside = settle(ancestry.reachable(edges, heads).select("repo", "hash").distinct())
+    keys = inside.withColumnRenamed("hash", "commit_hash")
+    cut = {name: getattr(history, name).join(keys, ["repo", "commit_hash"], "left_semi")
+           for name in ("file_changes", "file_presence") if getattr(history, name) is not None}
+    return History(**{**history.tables(), **cut,
+                      "commits": history.commits.join(inside, ["repo", "hash"], "left_semi")})
+
+
 def read_history(spark: SparkSession, root: str, *, tree: bool = False, refs: bool = False,
                  tags: bool = False) -> History:
     """Base tables from dumps; optional kinds only where asked for."""
@@ -100,29 +120,37 @@ def build_history(base: History, *, newest: int | None = None, patterns: bool =
 
 def write_tables(history: History, root: str) -> None:
     """Parquet by repository. Rows are range partitioned first: a large repository is written by
-    several tasks, small ones share a task, and files stay sorted by commit for pruning."""
-    for name in STORED:
+    several tasks, small ones share a task, and files stay sorted by commit for pruning. An optional
+    table that the history lacks is removed from the store."""
+    keys = {"commits": "hash", "branches": "full_name", "tags": "tag_name"}
+    for name in (*REQUIRED, *OPTIONAL):
         table = getattr(history, name)
-        if table is not None:
-            key = "hash" if name == "commits" else "commit_hash"
+        if table is None:
+            remove_path(next(iter(history.tables().values())).sparkSession, f"{root}/{name}")
+        else:
+            key = keys.get(name, "commit_hash")
             (table.repartitionByRange("repo", key).sortWithinPartitions("repo", key)
              .write.mode("overwrite").partitionBy("repo").parquet(f"{root}/{name}"))
 
 
 def read_tables(spark: SparkSession, root: str) -> History | None:
-    """The stored tables, None unless all of them are there and readable."""
+    """The stored tables, None unless commits and changes are there and readable; listing, branches and
+    tags come where they were stored."""
     found = {}
-    for name, schema in zip(STORED, (COMMITS, FILE_CHANGES, FILE_PRESENCE)):
+    for name, schema in (REQUIRED | OPTIONAL).items():
         try:
             stored = spark.read.parquet(f"{root}/{name}").schema
         except AnalysisException as error:
+            if name in OPTIONAL:
+                continue
             log.warning("no stored table %s: %s", name, error)
             return None
         # repository names stay text even when they look like numbers
         typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "repo" else f
                               for f in stored.fields])
         # optional columns (parents, old_path) that were not stored stay away
-        known = T.StructType([f for f in schema.fields if f.name in typed.fieldNames()])
+        known = typed if schema is None else T.StructType(
+            [f for f in schema.fields if f.name in typed.fieldNames()])
         found[name] = to_schema(spark.read.schema(typed).parquet(f"{root}/{name}"), known)
     return History(**found)
 
