@@ -98,6 +98,8 @@ def path_members(messages: DataFrame, leaves: DataFrame, scratch: Scratch) -> Da
             "tree", "id", F.col("_far").alias("up"))))
     found = leaves.select("tree", F.col("id").alias("leaf"), "id")
     for jump in reversed(jumps[:-1]):
+        # settled, since every step reads the one before twice
+        found = scratch.settle(found)
         found = found.union(found.join(jump, ["tree", "id"]).select(
             "tree", "leaf", F.col("up").alias("id")))
     return found
