@@ -72,17 +72,22 @@ def ancestors(messages: DataFrame, scratch: Scratch) -> DataFrame:
         "tree", "id", F.when(F.col("_known"), F.col("parent")).alias("up"),
         F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("depth"),
         F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))
+    finished: list[DataFrame] = []
     for _ in range(MAX_DOUBLINGS):
-        if state.filter(F.col("up").isNotNull()).isEmpty():
-            return state.select("tree", "id", "depth", "total")
-        above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("_up"),
+        every = state
+        for part in finished:
+            every = every.unionByName(part)
+        # only messages that are still under way are joined again
+        open_ = state.filter(F.col("up").isNotNull())
+        if open_.isEmpty():
+            return every.select("tree", "id", "depth", "total")
+        above = every.select("tree", F.col("id").alias("up"), F.col("up").alias("_up"),
                              F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        joined = state.join(above, ["tree", "up"], "left")
         # the sum covers the steps walked so far, the far end not included while it has ancestors
-        state = scratch.settle(joined.select(
-            "tree", "id", F.col("_up").alias("up"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")))
+        finished.append(state.filter(F.col("up").isNull()))
+        state = scratch.settle(open_.join(above, ["tree", "up"]).select(
+            "tree", "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            (F.col("total") + F.col("_total")).alias("total")))
     raise ValueError("messages reply to each other in a circle")
 
 
