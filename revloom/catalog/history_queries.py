@@ -6,6 +6,7 @@ from revloom.catalog.adapters import AS_OF
 from revloom.catalog.registry import query
 from revloom.functions import scalars
 from revloom.operators import ancestry, contributors, files, lifetimes, report, snapshots
+from revloom.sources.tables import History, branch_history
 
 TARGETS = {"targets": """SELECT DISTINCT repo, strftime(day, '%Y-%m-%d') AS snapshot_id,
   day + INTERVAL 12 HOUR AS target FROM (
@@ -352,3 +353,30 @@ def a34(t):
     return report.table_counts({
         "commits": t.commits, "file_changes": t.changes, "branches": t.branches, "tags": t.tags,
         "contributors": contributors.contributors_from_commits(t.commits)})
+
+
+WALK = {"walk": """SELECT repo, last_commit_hash AS hash, 0 AS back FROM branches WHERE branch_name = 'main'
+    UNION ALL SELECT e.repo, e.parent, back + 1 FROM walk w
+    JOIN edges e ON e.repo = w.repo AND e.child = w.hash AND e.place = 0"""}
+
+
+def _main_heads(t):
+    return t.branches.filter(F.col("branch_name") == "main").select("repo", F.col("last_commit_hash").alias("hash"))
+
+
+@query("K1_S7_first_parent_head_files", "repo filepath", """
+    SELECT repo, filepath FROM (SELECT c.repo, c.filepath, back,
+        max(CASE WHEN change_type = 'D' THEN 0 ELSE 1 END) AS open
+      FROM changes c JOIN walk w ON c.repo = w.repo AND c.commit_hash = w.hash GROUP BY ALL)
+    GROUP BY repo, filepath HAVING arg_min(open, back) = 1""", "branches", "edges", "changes", extra=WALK)
+def first_parent_head_files(t):
+    order = lifetimes.first_parent_sequence(t.commits_with_parents, _main_heads(t))
+    return lifetimes.head_files(lifetimes.file_lifetimes(t.changes, order))
+
+
+@query("S15_K8_branch_commits", "repo hash", """SELECT repo, hash FROM reach""", "branches", "edges",
+       extra={"reach": """SELECT repo, last_commit_hash AS hash FROM branches WHERE branch_name = 'main'
+    UNION SELECT e.repo, e.parent FROM reach r JOIN edges e ON e.repo = r.repo AND e.child = r.hash"""})
+def branch_commits(t):
+    whole = History(commits=t.commits_with_parents, branches=t.branches)
+    return branch_history(whole, "main").commits.select("repo", "hash")
