@@ -12,7 +12,8 @@ escaped so that no control string stands inside: the escape character U+241B bec
 Paths are rows (one per turn) sorted within a conversation, never one array per tree; digests are built as the
 rows stream by, so a conversation of any length takes bounded memory.
 
-Null text is empty text; a null role is the role "". Messages with a missing parent are roots; a cycle raises an
+Null text is empty text; a null role is the role "". Messages without a tree form one tree; messages without an id
+cannot be replied to or told apart and take no part. Messages with a missing parent are roots; a cycle raises an
 error. Repeated (tree, id) rows count once (the least text stays). Other columns are ignored.
 """
 
@@ -115,7 +116,9 @@ def ranked_paths(messages: DataFrame, scratch: Scratch, branches: int = 1) -> Da
 
     ``messages``: (tree, id, parent, role, text, score).
     """
-    once = scratch.settle(messages.groupBy("tree", "id").agg(
+    # inside a struct a null tree joins like any other
+    named = messages.filter(F.col("id").isNotNull()).withColumn("tree", F.struct(F.col("tree").alias("name")))
+    once = scratch.settle(named.groupBy("tree", "id").agg(
         F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "id", "m.*"))
     placed = scratch.settle(ancestors(once, scratch))
     parents = once.select("tree", F.col("parent").alias("id")).filter(F.col("id").isNotNull()).distinct()
@@ -128,7 +131,7 @@ def ranked_paths(messages: DataFrame, scratch: Scratch, branches: int = 1) -> Da
     return (members.join(placed.select("tree", "id", F.col("depth").alias("position")), ["tree", "id"])
             .join(once.select("tree", "id", "role", "text"), ["tree", "id"])
             .join(chosen.select("tree", F.col("id").alias("leaf"), "branch"), ["tree", "leaf"])
-            .select("tree", "leaf", "branch", "position", "role", "text"))
+            .select(F.col("tree.name").alias("tree"), "leaf", "branch", "position", "role", "text"))
 
 
 def _format(batches):

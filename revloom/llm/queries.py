@@ -26,17 +26,20 @@ def op3_decontamination(spark, sf_dir):
 
 
 def op4_chat_format(spark, sf_dir):
-    """Every conversation is a tree whose turns reply to the turn before; one more, -7, holds control strings."""
+    """Every conversation is a tree whose rows reply to the row before, by turn; one more, -7, holds control strings.
+
+    Rows with equal or null turns (these first) stand next to each other, by role and text; none is left out.
+    """
     told = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
     rows = told.unionByName(extra)
-    before = F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn"))
-    messages = rows.select(
-        F.col("conv_id").alias("tree"), F.col("turn").alias("id"), before.alias("parent"), "role", "text",
-        F.lit(0.0).alias("score"))
+    messages = rows.withColumn("id", F.row_number().over(
+        W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")).select(
+        F.col("conv_id").alias("tree"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"),
+        "role", "text", F.lit(0.0).alias("score"))
     read = chat.read_back(chat.formatted_conversations(messages))
     return read.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
                        "formatted_chars")
