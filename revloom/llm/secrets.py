@@ -109,11 +109,12 @@ def _pem_body(body: str) -> bytes | None:
 
 
 def _is_token(header: str) -> bool:
-    raw = decode_base64(header)
     try:
-        return isinstance(json.loads(raw or b""), dict) and "alg" in json.loads(raw)
-    except ValueError:
+        found = json.loads(decode_base64(header) or b"")
+    except (ValueError, RecursionError):
+        # no JSON, or nested too deeply for a header
         return False
+    return isinstance(found, dict) and "alg" in found
 
 
 def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
