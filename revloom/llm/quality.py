@@ -13,7 +13,8 @@ the dictionaries ``pieces`` pieces of ``PIECE`` characters per class, cut from w
 by hash. Every text is scored in full length.
 
 Null text counts as empty. Empty texts get a score as well. Repeated rows get equal scores. Labels that are
-null, other than 0 or 1, or contradict each other are not learnt from. Without labels of both kinds every
+null, other than 0 or 1, or contradict each other are not learnt from; of sampled rows that share an id the least
+text is. Without labels of both kinds every
 score is 0.5 (predicted 1). Null doc_ids are scored and held out. Other columns are ignored.
 """
 
@@ -50,7 +51,9 @@ def training_texts(documents: DataFrame, labels: DataFrame, per_class: int) -> D
         F.min("quality").alias("quality"), F.max("quality").alias("_most")).filter(
         F.col("quality") == F.col("_most")).drop("_most")
     chosen = _rows_of_class(known, 0, per_class).union(_rows_of_class(known, 1, per_class))
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # rows that share an id are one sampled text, so repeated rows do not enlarge the sample
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.min("quality").alias("quality"))
 
 
 def _pieces(texts: DataFrame, value: int, pieces: int) -> list[bytes]:
@@ -134,7 +137,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     x = np.array([r.features for r in rows])
     y = np.array([r.quality for r in rows], dtype=float)
     # the sample has as many good as bad texts where it can; weigh them as the labels have them
-    totals = labels.filter(~held_out()).groupBy("quality").count().collect()
+    totals = labels.filter(~held_out() & F.col("quality").isin(0, 1)).groupBy("quality").count().collect()
     share = {r["quality"]: r["count"] for r in totals}
     weight = np.where(y == 1, share.get(1, 1) / max(1, (y == 1).sum()),
                       share.get(0, 1) / max(1, (y == 0).sum()))
