@@ -106,11 +106,10 @@ def _count_hits(batches, shared):
 def rarer_half(seeds: Seeds, counts: dict[int, int]) -> np.ndarray:
     """Which seeds to keep: of each item, those up to its median count."""
     docs = np.array([counts.get(int(h), 0) for h in seeds.unsorted_hash], dtype=np.int64)
-    keep = np.zeros(len(docs), dtype=bool)
-    for owner in np.unique(seeds.unsorted_owner):
-        own = np.flatnonzero(seeds.unsorted_owner == owner)
-        keep[own] = docs[own] <= np.quantile(docs[own], 0.5)
-    return keep
+    # the seeds of an item stand together
+    cuts = np.flatnonzero(np.diff(seeds.unsorted_owner)) + 1
+    parts = [own <= np.quantile(own, 0.5) for own in np.split(docs, cuts) if len(own)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
 
 
 def best_alignments(hashes: np.ndarray, seeds: Seeds, items: list[np.ndarray]) -> dict[int, tuple]:
