@@ -123,6 +123,8 @@ def test_secret_spans(docs):
     kinds = [{s.split(":")[0] for s in by_id[i].spans.split(",")} for i in range(len(TEXTS))]
     assert "key" in kinds[6] and "key" not in kinds[7] and "pem" in kinds[8] and "jwt" in kinds[9]
     assert by_id[9].n_confirmed == 1
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 200_000).decode().rstrip("=")
+    assert "jwt" not in [kind for *_, kind in secrets.find_secrets(f"{deep}.abc.def")]
 
 
 def test_redaction_keeps_rows_and_columns(docs):
@@ -239,6 +241,8 @@ def test_quality(spark, docs):
         assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
     mine = [r for r in got if r.doc_id is not None and r.doc_id < 240 and r.held_out]
     assert np.mean([r.predicted == 1 - r.doc_id % 2 for r in mine]) > 0.95
+    repeated = docs(good + bad + good[:1] * 50)
+    assert quality.training_texts(repeated, labels, 20).count() == 40
     kept = quality.keep_good(docs(rows), labels)
     assert kept.columns == docs([]).columns
 

@@ -54,12 +54,13 @@ def test_reply_trees(spark):
     schema = "tree long, id long, parent long, role string, text string, score double, depth long"
     rows = [(1, 1, None, "user", "q", 0.0, 9), (1, 2, 1, "assistant", "bad", 0.1, 9), (1, 3, 1, "assistant", "good", 0.9, 9),
             (1, 4, 3, "user", "thanks", None, 9), (1, 5, 3, "user", "great", 0.8, 9), (1, 5, 3, "user", "great", 0.8, 9),
-            (2, 1, 77, None, None, 0.0, 9)]
+            (2, 1, 77, None, None, 0.0, 9), (None, 1, None, "user", "lost", 0.0, 9), (None, 2, 1, "assistant", "found", 0.0, 9),
+            (1, None, 5, "user", "nameless", 9.0, 9)]
     rows += [(3, i, i - 1 if i else None, "assistant" if i % 2 else "user", f"t{i}", 0.0, 9) for i in range(37)]
     frame = spark.createDataFrame(rows, schema)
     got = {(r.tree, r.branch): r for r in chat.read_back(chat.formatted_conversations(frame, 2)).collect()}
     want = {(1, 1): [("user", "q"), ("assistant", "good"), ("user", "great")], (1, 2): [("user", "q"), ("assistant", "good"), ("user", "thanks")],
-            (2, 1): [("", "")], (3, 1): [(r[3], r[4]) for r in rows if r[0] == 3]}
+            (2, 1): [("", "")], (None, 1): [("user", "lost"), ("assistant", "found")], (3, 1): [(r[3], r[4]) for r in rows if r[0] == 3]}
     assert set(got) == set(want)
     for key, turns in want.items():
         told = "".join(f"{a}\n{b}\n" for a, b in turns)
@@ -77,6 +78,16 @@ def test_reply_trees(spark):
         chat.MAX_DOUBLINGS = chat_max
 
 
+def test_every_row_is_a_turn(spark, tmp_path):
+    rows = [(1, 2, "user", "b"), (1, 2, "user", "b"), (1, None, "user", "first"), (1, 3, "assistant", None), (None, 1, "user", "x"),
+            (None, 1, "assistant", "y"), (4, 1, None, "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in llm_queries()["op4_chat_format"].run(spark, str(tmp_path)).collect()}
+    assert {c: r.n_turns for c, r in got.items()} == {1: 4, None: 2, 4: 1, -7: 2}
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\nfirst\nuser\nb\nuser\nb\nassistant\n\n").hexdigest()
+
+
 PAGES = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "same"), (5, "http://a/5", "same"), (3, None, "same"), (4, "http://a/4", None),
          (6, "http://a/6", ""), (None, "http://a/n", "alone"), (7, "http://a/7", "x\r\n\r\ny" * 40_000)]
 
