@@ -83,7 +83,7 @@ LEFT JOIN (SELECT r.repo, r.hash, min(b.branch_name) AS branch FROM reach r
        "commits", "lifetimes", "edges", "branches", extra={**YEARLY, **REACH})
 def k6_headers(t):
     found = _yearly_commits(t)
-    held = ancestry.branch_of_commit(t.orders, t.branches, ancestry.reachable(t.edges, _heads(t)))
+    held = ancestry.branch_of_commit(t.orders, t.branches, t.edges)
     files_found = snapshots.snapshot_files(found, t.sequence, t.lifetimes)
     return snapshots.snapshot_headers(found, files_found, held)
 
@@ -172,7 +172,7 @@ LEFT JOIN reach r ON r.repo = o.repo AND r.hash = o.hash
 LEFT JOIN branches b ON b.repo = r.repo AND b.last_commit_hash = r.head AND NOT b.is_remote
 GROUP BY o.repo, o.hash""", "edges", "branches", extra=REACH)
 def k7_commit(t):
-    return ancestry.branch_of_commit(t.orders, t.branches, ancestry.reachable(t.edges, _heads(t)))
+    return ancestry.branch_of_commit(t.orders, t.branches, t.edges)
 
 
 @query("W7_unique_branches", "repo branch_name full_name is_remote:b last_commit_hash", """

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from revloom.functions import scalars, text
 from revloom.operators import ancestry
-from revloom.plans.order import SEGMENT, running_sum, segment_of, with_position
+from revloom.plans.order import SEGMENT, carry_last, running_sum, segment_of, with_position
 from revloom.plans.runtime import settle
 from revloom.plans.skew import attach, measured
 
+# the number of a commit after all others
+NEVER = 1 << 62
+
 
 def commit_sequence(commits: DataFrame) -> DataFrame:
     """(repo, hash, date, seq): dense commit numbers from 1, settled, because most history queries
@@ -129,17 +132,26 @@ def listed_head_files(presence: DataFrame, commits: DataFrame) -> DataFrame:
     return presence.join(side, ["repo", "commit_hash"], "left_semi").select("repo", "filepath")
 
 
-def files_at(lifetimes: DataFrame, targets: DataFrame, salts: int = 16) -> DataFrame:
+def files_at(lifetimes: DataFrame, targets: DataFrame) -> DataFrame:
     """Files present at commit numbers: ``targets`` holds (repo, seq, …) for any number of points.
 
-    The lifetimes of a repository are spread over ``salts`` tasks, the targets are copied.
+    The points of a repository are numbered. How many of them lie before a commit at which a lifetime begins or
+    ends is looked up once per commit, which makes a lifetime a range of points: only rows of the result are made.
     """
-    spread = lifetimes.withColumn("_salt", F.pmod(F.xxhash64("filepath"), F.lit(salts)).cast("int"))
-    copies = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    alive = (F.col("from_seq") <= F.col("seq")) & (
-        F.col("to_seq").isNull() | (F.col("seq") < F.col("to_seq")))
-    return spread.join(copies, ["repo", "_salt"]).filter(alive).select(
-        *targets.columns, "filepath")
+    points = settle(with_position(targets.select("repo", "seq").distinct(), ["repo"], [F.col("seq").asc()]))
+    spans = lifetimes.select("repo", "filepath", "from_seq", F.coalesce("to_seq", F.lit(NEVER)).alias("to_seq"))
+    ends = spans.select("repo", F.explode(F.array("from_seq", "to_seq")).alias("seq")).distinct()
+    # at equal numbers the ends come first: they count the points before them
+    order = points.withColumn("_kind", F.lit(1)).unionByName(
+        ends.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    before = carry_last(order, ["repo"], [F.col("seq").asc(), F.col("_kind").asc()], "position", "_before").filter(
+        F.col("_kind") == 0).select("repo", "seq", F.coalesce("_before", F.lit(0)).alias("_before"))
+    at = lambda end, name: before.select("repo", F.col("seq").alias(end), F.col("_before").alias(name))
+    ranged = spans.join(at("from_seq", "_low"), ["repo", "from_seq"]).join(at("to_seq", "_high"), ["repo", "to_seq"])
+    present = ranged.filter(F.col("_low") < F.col("_high")).select(
+        "repo", "filepath", F.explode(F.sequence(F.col("_low") + 1, "_high")).alias("position"))
+    asked = targets.join(points, ["repo", "seq"])
+    return present.join(asked, ["repo", "position"]).select(*targets.columns, "filepath")
 
 
 def last_changes(changes: DataFrame, commits: DataFrame) -> DataFrame:

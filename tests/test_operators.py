@@ -138,6 +138,11 @@ def test_lifetimes_equal_listing(make, monkeypatch, segment):
     life = lifetimes.file_lifetimes(f, sequence)
     spread = lifetimes.files_at(life, sequence.select("repo", "seq", "hash"))
     assert rows(spread, "hash", "filepath") == sorted(listing)
+    some = sequence.filter("seq % 7 = 3").select("repo", "seq", "hash")
+    named = some.crossJoin(some.sparkSession.range(2)).union(some.selectExpr("'other' as repo", "seq", "hash", "9"))
+    asked = {r.hash for r in some.collect()}
+    assert rows(lifetimes.files_at(life, named), "hash", "filepath", "id") == sorted(
+        (h, p, i) for h, p in listing if h in asked for i in range(2))
     counts = dict(rows(lifetimes.presence_counts(life, sequence), "filepath", "present_in"))
     assert counts == dict(Counter(p for _, p in listing))
     sizes = Counter(h for h, _ in listing)
@@ -231,11 +236,48 @@ def test_branches(make, spark):
     assert rows(ancestry.choose_branch(branches, "new"), "branch") == [("new",)]
     bare = branches.filter("branch_name <> 'main'").withColumn("is_current", F.col("branch_name") == "old")
     assert rows(ancestry.choose_branch(bare), "branch") == [("old",)]
-    reach = ancestry.reachable(edges, branches.select("repo", F.col("last_commit_hash").alias("hash")))
-    assert rows(ancestry.branch_of_commit(c, branches, reach), "hash", "branch") == [
+    assert rows(ancestry.branch_of_commit(c, branches, edges), "hash", "branch") == [
         ("a", "main"), ("b", "main"), ("x", "new")]
 
 
+def test_branches_by_segments(make, spark):
+    """Long chains with forks and merges against plain search, and far fewer segments than commits."""
+    rng = random.Random(11)
+    parents = {"n0": []}
+    for i in range(1, 400):
+        up = [f"n{i - 1}" if rng.random() < 0.97 else f"n{rng.randrange(i)}"]
+        if rng.random() < 0.03 and i > 2:
+            up.append(f"n{rng.randrange(i - 1)}")
+        parents[f"n{i}"] = list(dict.fromkeys(up))
+    c = make.commits([(h, "A", utc(2020), "", up) for h, up in parents.items()])
+    heads = {f"b{i:02}": f"n{rng.randrange(400)}" for i in range(12)} | {"main": "n399"}
+    branches = spark.createDataFrame(
+        [("r", b, b, b == "main", b == "b03", h) for b, h in heads.items()],
+        "repo string, branch_name string, full_name string, is_current boolean, is_remote boolean, last_commit_hash string")
+
+    def closure(head):
+        seen, todo = set(), [head]
+        while todo:
+            h = todo.pop()
+            if h not in seen:
+                seen.add(h)
+                todo += parents[h]
+        return seen
+
+    held = {b: closure(h) for b, h in heads.items()}
+    edges = ancestry.parent_edges(c)
+    facts = ancestry.branch_facts(branches, edges, ancestry.choose_branch(branches))
+    assert rows(facts, "branch_name", "commit_count", "is_merged") == sorted(
+        (b, len(held[b]), b not in ("main", "b03") and h in held["main"]) for b, h in heads.items())
+    first = {h: min((b for b in heads if b != "b03" and h in held[b]), default=None) for h in parents}
+    assert dict(rows(ancestry.branch_of_commit(c, branches, edges), "hash", "branch")) == first
+    members, links = ancestry.segments(edges, branches.select("repo", F.col("last_commit_hash").alias("hash")))
+    assert members.count() == 400 and members.select("top").distinct().count() < 120
+    circle = make.commits([("a", "A", utc(2020), "", ["b"]), ("b", "A", utc(2020), "", ["a"])])
+    with pytest.raises(ValueError):
+        ancestry.segments(ancestry.parent_edges(circle), branches.select("repo", F.lit("zz").alias("hash")))
+
+
 def test_weekly_bins(make):
     c = make.commits([("a", "A", utc(2020, 1, 4, 10)), ("b", "A", utc(2020, 1, 5, 23)),
                       ("c", "A", utc(2020, 1, 6, 0, 30)), ("d", "A", utc(2020, 1, 20))])
