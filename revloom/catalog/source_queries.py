@@ -157,13 +157,13 @@ def s11_patterns(t):
     return rows.filter(F.col("metric").isin("avg_message_length", "merge_commit_percentage"))
 
 
-@query("S12_json_sink", "repo hash author_name message", """
-SELECT repo, hash, author_name, message FROM commits""", "commits")
+@query("S12_json_sink", "repo hash author_name author_email date:t message", """
+SELECT repo, hash, author_name, author_email, date, message FROM commits""", "commits")
 def s12(t):
     path = scratch_path(t.spark, "json")
     sinks.write_json(t.commits, path)
-    return t.spark.read.schema("repo string, hash string, author_name string, message string"
-                               ).json(path)
+    return t.spark.read.schema("repo string, hash string, author_name string, author_email string, "
+                               "date timestamp, message string").json(path)
 
 
 @query("S13_sql_access", "repo author_name n:l churn:l", """
