@@ -12,6 +12,9 @@ A document is the set of its distinct word shingles; two link when their Jaccard
   Suffix: parities of the shingles over hash cells bound the number of shingles two sets do not share
   from below; 512 cells are folded into the join, finer ones (about four per shingle) follow.
 * **Verification** counts the shared shingles of each remaining pair exactly and once.
+* **Hot shingles.** The counters tell which shingles many sets may have; these are shared anyway and go to as many tasks
+  as their count asks for, instead of one. Facts of a shingle come from partial aggregates that are joined back, so
+  adaptive execution can split what is left.
 
 A large group of near copies would offer all its pairs. Links only matter for the components, so the first
 round pairs the sets of each prefix shingle with one of them (the one with most copies); the second pairs
@@ -37,6 +40,8 @@ WIDTH = 5
 SIMILARITY = 75
 CELLS = 1 << 20
 CHUNK = 1 << 12
+# rows of a shingle that one task takes; more where a counter holds more than that on average
+HOT_ROWS = 50_000
 FOLDS = 8
 _FOLD_NAMES = [f"s{i}" for i in range(FOLDS)]
 
@@ -143,11 +148,19 @@ def rare_first(tokens: np.ndarray, counters: np.ndarray) -> np.ndarray:
     return tokens[np.argsort(key, kind="stable")]
 
 
-def _prefixes(batches, width: int, similarity: int, shared):
-    """(token, fp, place): the prefix shingles of each set, once per task and set."""
+def hot_shares(counters: np.ndarray, hot_rows: int) -> np.ndarray:
+    """Tasks among which the sets of a shingle are dealt, by counter: 1 but for counters far above the mean."""
+    limit = max(hot_rows, 4 * int(counters.mean()))
+    return -(-counters.astype(np.int64) // limit).clip(max=-1)
+
+
+def _prefixes(batches, width: int, similarity: int, shared, hot_rows: int):
+    """(token, fp, place, share): the prefix shingles of each set, once per task and set. ``share`` is 0, or for a hot
+    shingle 1 and more, by the set."""
     cache, seen, counters = WordHashes(), set(), shared.value
+    parts = hot_shares(counters, hot_rows)
     for batch in batches:
-        tokens, prints, places = [], [], []
+        tokens, prints, places, shares = [], [], [], []
         for text in text_of(batch, "text"):
             own = _token_set(text, width, cache)
             size = len(own)
@@ -158,13 +171,17 @@ def _prefixes(batches, width: int, similarity: int, shared):
                 continue
             seen.add(fp)
             length = size - least_overlap(size, similarity) + 1
-            tokens.append(rare_first(own, counters)[:length])
+            first = rare_first(own, counters)[:length]
+            dealt = parts[(first & np.uint64(CELLS - 1)).astype(np.int64)]
+            tokens.append(first)
+            shares.append(np.where(dealt > 1, 1 + np.uint64(fp) % dealt.astype(np.uint64), 0).astype(np.int32))
             prints.append(np.full(length, fp, dtype=np.uint64))
             places.append(np.arange(length, dtype=np.int64) | (size << 32))
         if tokens:
             yield pa.RecordBatch.from_arrays(
                 [_signed(np.concatenate(tokens)), _signed(np.concatenate(prints)),
-                 pa.array(np.concatenate(places))], names=["token", "fp", "place"])
+                 pa.array(np.concatenate(places)), pa.array(np.concatenate(shares))],
+                names=["token", "fp", "place", "share"])
 
 
 def _may_link(n: Column, pos: Column, m: Column, other: Column, similarity: int) -> Column:
@@ -212,6 +229,11 @@ def _verify(batches, similarity: int):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _with_facts(rows: DataFrame, *facts: Column) -> DataFrame:
+    """Rows with aggregates over all rows of their shingle."""
+    return rows.join(rows.groupBy("token").agg(*facts), "token")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: int,
            scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that link."""
@@ -231,7 +253,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, si
 
 
 def ngram_components(documents: DataFrame, width: int = WIDTH,
-                     similarity: int = SIMILARITY) -> DataFrame:
+                     similarity: int = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``documents`` (doc_id, text).
 
     Runs jobs when called; the result reads one settled narrow table.
@@ -249,20 +271,21 @@ def ngram_components(documents: DataFrame, width: int = WIDTH,
                 *[F.first(s).alias(s) for s in _FOLD_NAMES]))
 
         prefixes = docs.mapInArrow(
-            partial(_prefixes, width=width, similarity=similarity, shared=shared),
-            "token long, fp long, place long")
-        whole = W.partitionBy("token")
-        shared_only = prefixes.withColumn("_low", F.min("fp").over(whole)).withColumn(
-            "_high", F.max("fp").over(whole)).filter("_low <> _high").dropDuplicates(["token", "fp"])
+            partial(_prefixes, width=width, similarity=similarity, shared=shared, hot_rows=hot_rows),
+            "token long, fp long, place long, share int")
+        # at most about ``hot_rows`` rows a window; hot shingles need no test, one set alone pairs with nothing
+        dealt = W.partitionBy("token", "share")
+        shared_only = prefixes.withColumn("_low", F.min("fp").over(dealt)).withColumn(
+            "_high", F.max("fp").over(dealt)).filter("share > 0 OR _low <> _high").dropDuplicates(
+            ["token", "share", "fp"])
         index = scratch.settle(shared_only.select(
             "token", "fp", F.shiftright("place", 32).alias("n"),
             F.col("place").bitwiseAND(0xFFFFFFFF).alias("pos")))
 
         # first round: every set with the most copied one that has the shingle
         ranked = index.join(classes.select("fp", "doc_id", "copies"), "fp")
-        best = F.first(F.struct("fp", "n", "pos")).over(
-            W.partitionBy("token").orderBy(F.col("copies").desc(), "doc_id", "fp"))
-        stars = ranked.withColumn("_best", best).filter(
+        best = F.min(F.struct((-F.col("copies")).alias("few"), "doc_id", "fp", "n", "pos")).alias("_best")
+        stars = _with_facts(ranked, best).filter(
             (F.col("fp") != F.col("_best.fp"))
             & _may_link(F.col("n"), F.col("pos"), F.col("_best.n"), F.col("_best.pos"), similarity))
         tried = scratch.settle(stars.select(
@@ -273,8 +296,8 @@ def ngram_components(documents: DataFrame, width: int = WIDTH,
         # second round: what is left between different components
         placed = index.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
             "label", F.coalesce("label", "fp")).join(classes.select("fp", *_FOLD_NAMES), "fp")
-        mixed = placed.withColumn("_low", F.min("label").over(whole)).withColumn(
-            "_high", F.max("label").over(whole)).filter("_low <> _high").drop("_low", "_high")
+        mixed = _with_facts(placed, F.min("label").alias("_low"), F.max("label").alias("_high")).filter(
+            "_low <> _high").drop("_low", "_high")
         one = scratch.settle(mixed)
         two = one.select("token", *[F.col(c).alias(f"o_{c}") for c in one.columns if c != "token"])
         apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"o_{s}"))) for s in _FOLD_NAMES), F.lit(0))

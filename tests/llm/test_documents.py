@@ -57,8 +57,8 @@ def brute_components(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ngram_components(docs, seed):
+@pytest.mark.parametrize("seed, hot_rows", [(1, ngram_join.HOT_ROWS), (2, ngram_join.HOT_ROWS), (2, 3)])
+def test_ngram_components(docs, seed, hot_rows):
     rng = random.Random(seed)
     rows = list(ODD)
     for base in range(4):
@@ -69,7 +69,7 @@ def test_ngram_components(docs, seed):
                 words[rng.randrange(len(words))] = f"new{rng.random()}"
             rows.append((base * 100 + k, " ".join(words), "s"))
     rows += [(500 + k, "a common line that many texts have in them. " + prose(rng, 12), "s") for k in range(20)]
-    got = sorted(map(tuple, ngram_join.ngram_components(docs(rows)).collect()), key=str)
+    got = sorted(map(tuple, ngram_join.ngram_components(docs(rows), hot_rows=hot_rows).collect()), key=str)
     assert got == brute_components(rows)
 
 
