@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from revloom.catalog import dump_fixture
+from revloom.catalog.commit_queries import BUSY
 from revloom.catalog.registry import query
 from revloom.operators import ancestry, commits, contributors, report
 from revloom.operators.persistence import persistence_metrics
@@ -128,14 +129,27 @@ def s8_changes(t):
     return documents.history_from_documents(_documents(t)).file_changes
 
 
-@query("S9_S10_table_store", "repo commit_hash filepath change_type insertions:l deletions:l "
-       "total_churn:l", "SELECT * FROM changes", "changes")
+@query("S9_S10_table_store", "table_name repo commit_hash filepath change_type insertions:l deletions:l "
+       "total_churn:l author_name author_email date:t message", """
+SELECT 'file_changes' AS table_name, repo, commit_hash, filepath, change_type, insertions, deletions, total_churn,
+  NULL AS author_name, NULL AS author_email, CAST(NULL AS TIMESTAMP) AS date, NULL AS message FROM changes
+UNION ALL SELECT 'file_presence', repo, commit_hash, filepath, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM changes
+UNION ALL SELECT 'commits', repo, hash, NULL, NULL, NULL, NULL, NULL, author_name, author_email, date, message
+FROM commits""", "changes", "commits")
 def s9(t):
     root = scratch_path(t.spark, "store")
     build = lambda: tables.History(
         commits=t.commits, file_changes=t.changes,
         file_presence=t.changes.select("repo", "commit_hash", "filepath"))
-    return tables.stored_or_built(t.spark, root, build).file_changes
+    tables.stored_or_built(t.spark, root, build)
+    # the second time nothing is built
+    stored = tables.stored_or_built(t.spark, root, None)
+    parts = {"file_changes": stored.file_changes, "file_presence": stored.file_presence,
+             "commits": stored.commits.withColumnRenamed("hash", "commit_hash")}
+    named = [part.withColumn("table_name", F.lit(name)) for name, part in parts.items()]
+    return named[0].unionByName(named[1], allowMissingColumns=True).unionByName(
+        named[2], allowMissingColumns=True)
 
 
 @query("S11_csv_sink", "repo hash architectural_metrics_age_days:l architectural_metrics_asi:d", """
@@ -147,14 +161,26 @@ def s11(t):
     return t.spark.read.option("header", True).csv(path)
 
 
-@query("S11_pattern_rows", "repo metric value", """
-SELECT repo, 'avg_message_length' AS metric, CAST(round(avg(length(message)), 2) AS VARCHAR) AS value
-FROM commits GROUP BY repo
-UNION ALL SELECT repo, 'merge_commit_percentage', '0.0' FROM commits GROUP BY repo""", "commits")
+PATTERNS = {"patterns": """SELECT t.repo, day AS most_active_day, day_n AS most_active_day_count,
+  hour AS most_active_hour, hour_n AS most_active_hour_count, merge_commit_percentage, avg_message_length,
+  monthly_commit_trend
+FROM (SELECT c.repo, round(count(e.child) * 100.0::DOUBLE / count(*), 2) AS merge_commit_percentage,
+        round(avg(length(message)), 2) AS avg_message_length
+      FROM commits c LEFT JOIN (SELECT repo, child FROM edges WHERE place = 1) e
+        ON c.repo = e.repo AND c.hash = e.child GROUP BY c.repo) t
+JOIN busy USING (repo) JOIN busy_hour USING (repo)
+JOIN (SELECT repo, '{' || string_agg('"' || m || '":' || n, ',' ORDER BY m) || '}' AS monthly_commit_trend
+      FROM (SELECT repo, strftime(date, '%Y-%m') AS m, count(*) AS n FROM ord GROUP BY ALL)
+      GROUP BY repo) USING (repo)"""}
+PATTERN_METRICS = ("most_active_day", "most_active_day_count", "most_active_hour", "most_active_hour_count",
+                   "merge_commit_percentage", "avg_message_length", "monthly_commit_trend")
+
+
+@query("S11_pattern_rows", "repo metric value", " UNION ALL ".join(
+    f"SELECT repo, '{m}' AS metric, CAST({m} AS VARCHAR) AS value FROM patterns" for m in PATTERN_METRICS),
+       "commits", "edges", extra=BUSY | PATTERNS)
 def s11_patterns(t):
-    plain = t.commits.withColumn("parents", F.array().cast("array<string>"))
-    rows = sinks.metric_rows(commits.commit_patterns(plain))
-    return rows.filter(F.col("metric").isin("avg_message_length", "merge_commit_percentage"))
+    return sinks.metric_rows(commits.commit_patterns(t.commits_with_parents))
 
 
 @query("S12_json_sink", "repo hash author_name author_email date:t message", """
