@@ -1,16 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment.
 
-Every word n-gram of a test item may be a seed. A first pass over the corpus counts the documents that have
-each of them; an item keeps the rarer half of its n-grams, so that common phrases seed nothing while an item
-that leaked everywhere still has seeds. A second pass looks the seeds up in every text. Each seed hit puts the
-item on a diagonal; the windows around the diagonals of an item are aligned with it word by word (match +2,
-mismatch -1, gap -1), which finds edited copies. The score is the alignment's share of a perfect one.
+The score is the alignment's share of a perfect one, for the best local alignment of a text and an item word by word
+(match +2, mismatch -1, gap -1). Every pair of document and item from the threshold on is found: what precedes the
+alignment leaves out only what cannot reach it.
+
+* A score from ``threshold`` on takes at least ``threshold`` of the item's words, and at most (3 - 2 threshold) times its
+  length of the text. With m words needed of n, any n - m + c of them hold c that match.
+* A first pass counts the words of the items in the corpus; the rarest n - m + c words of an item are its seeds (words
+  that occur nowhere among them). A second pass looks for ``HITS`` = c seeds of an item within that length of text.
+* Where the text around them has m words of the item within that length, all such stretches are aligned.
 
 Texts are never shuffled: the items go to the texts, in blocks of at most ``BLOCK_WORDS`` words (the proven
 bound of what is broadcast), one pass per block.
 
-Null and empty texts have no hit. Null and empty items match nothing. Items with less than ``SEED`` words are
-one seed of all their words. Rows are reported per document row, so repeated rows repeat. A null doc_id or
+Null and empty texts have no hit. Null and empty items match nothing. Items with less than ``SEED`` words must
+occur whole. Rows are reported per document row, so repeated rows repeat. A null doc_id or
 item_id is reported as null. Other columns are ignored.
 """
 
@@ -20,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from revloom.llm.words import WordHashes, shingle_hashes, text_of, word_hashes, words
+from revloom.llm.words import WordHashes, text_of, word_hashes, words
 
 SEED = 4
+HITS = 5
 THRESHOLD = 0.5
 BLOCK_WORDS = 500_000
 FILTER = 1 << 20
@@ -48,107 +53,130 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-class Seeds:
-    """Seed n-grams of a block of items, sorted by hash."""
+class Vocabulary:
+    """Distinct words, sorted by hash."""
 
-    def __init__(self, items: list[np.ndarray], width: int, chosen: np.ndarray | None = None):
-        hashes, owners, places, spans = [], [], [], []
-        for i, item in enumerate(items):
-            grams = shingle_hashes(item, width)
-            hashes.append(grams)
-            owners.append(np.full(len(grams), i))
-            places.append(np.arange(len(grams)))
-            spans.append(np.full(len(grams), min(width, len(item))))
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        hash_, owner, place, span = (join(hashes, np.uint64), join(owners, np.int64),
-                                     join(places, np.int64), join(spans, np.int64))
-        if chosen is not None:
-            hash_, owner, place, span = hash_[chosen], owner[chosen], place[chosen], span[chosen]
-        order = np.argsort(hash_, kind="stable")
-        self.hash, self.owner, self.place = hash_[order], owner[order], place[order]
-        self.unsorted_hash, self.unsorted_owner = hash_, owner
-        self.widths = sorted(set(span.tolist()))
+    def __init__(self, items: list[np.ndarray]):
+        self.hash = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64)
         self._seen = np.zeros(FILTER, dtype=bool)
         self._seen[(self.hash & np.uint64(FILTER - 1)).astype(np.int64)] = True
 
-    def look_up(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in the text, indices of seeds) of all hits."""
-        at = np.flatnonzero(self._seen[(grams & np.uint64(FILTER - 1)).astype(np.int64)])
-        low = np.searchsorted(self.hash, grams[at], "left")
-        count = np.searchsorted(self.hash, grams[at], "right") - low
-        first = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) if len(at) else low
-        return np.repeat(at, count), first + np.arange(count.sum())
-
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the text, indices of words) of all words that are known."""
+        at = np.flatnonzero(self._seen[(hashes & np.uint64(FILTER - 1)).astype(np.int64)])
+        index = np.searchsorted(self.hash, hashes[at])
+        known = self.hash[np.minimum(index, len(self.hash) - 1)] == hashes[at] if len(at) else np.zeros(0, bool)
+        return at[known], index[known]
 
-def _grams(hashes: np.ndarray, seeds: Seeds):
-    """Hashes of the n-grams of each width that seeds have (short items are narrower)."""
-    for width in seeds.widths:
-        if len(hashes) >= width:
-            yield shingle_hashes(hashes, width)
 
-
-def _count_hits(batches, shared):
-    """(gram, docs): documents with each gram, summed up per task."""
-    seeds, cache = shared.value[0], WordHashes()
-    totals: dict[int, int] = {}
+class Seeds:
+    """Seed words of a block of items, and what an alignment from the threshold on takes at least."""
+
+    def __init__(self, items: list[np.ndarray], counts: np.ndarray, vocabulary: Vocabulary,
+                 threshold: float = THRESHOLD, short: int = SEED):
+        self.items = items
+        sizes = np.array([len(i) for i in items], dtype=np.int64)
+        # a short item is found whole or not at all
+        self.least = np.where(sizes < short, max(threshold, 1.0), threshold)
+        self.needed = np.maximum(np.ceil(self.least * sizes - 1e-9), 1).astype(np.int64)
+        self.span = np.maximum(np.floor((3 - 2 * self.least) * sizes + 1e-9), 1).astype(np.int64)
+        self.hits = np.minimum(self.needed, HITS)
+        self.words = [np.unique(i) for i in items]
+        chosen, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, item in enumerate(items):
+            distinct, times = np.unique(item, return_counts=True)
+            index = np.searchsorted(vocabulary.hash, distinct)
+            order = np.argsort(counts[index], kind="stable")
+            # with all places of a word, until so many are left that the others alone cannot do
+            before = np.cumsum(times[order]) - times[order]
+            rare = index[order][before < len(item) - self.needed[i] + self.hits[i]]
+            chosen.append(rare)
+            owners.append(np.full(len(rare), i))
+        word, owner = np.concatenate(chosen), np.concatenate(owners)
+        order = np.argsort(word, kind="stable")
+        self.owner = owner[order]
+        self.vocabulary = Vocabulary([vocabulary.hash[word]])
+        # the seeds of the k-th word stand at first[k] up to first[k + 1]
+        self.first = np.searchsorted(vocabulary.hash[word[order]], self.vocabulary.hash)
+        self.first = np.concatenate([self.first, [len(word)]])
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the text, items) of all hits, by item and place."""
+        at, word = self.vocabulary.look_up(hashes)
+        low, count = self.first[word], self.first[word + 1] - self.first[word]
+        skipped = np.cumsum(count) - count
+        owner = self.owner[np.repeat(low - skipped, count) + np.arange(count.sum())]
+        at = np.repeat(at, count)
+        order = np.argsort(owner, kind="stable")
+        return at[order], owner[order]
+
+
+def _count_words(batches, shared):
+    """(word, n): how often each word of the items occurs, summed up per task."""
+    vocabulary, cache = shared.value, WordHashes()
+    totals = np.zeros(len(vocabulary.hash), dtype=np.int64)
     for batch in batches:
         for text in text_of(batch, "text"):
-            hashes = word_hashes(words(text), cache)
-            for grams in _grams(hashes, seeds):
-                _, hits = seeds.look_up(grams)
-                for gram in set(seeds.hash[hits].tolist()):
-                    totals[gram] = totals.get(gram, 0) + 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.array(list(totals), dtype=np.uint64).view(np.int64)),
-         pa.array(list(totals.values()), pa.int64())], names=["gram", "docs"])
-
-
-def rarer_half(seeds: Seeds, counts: dict[int, int]) -> np.ndarray:
-    """Which seeds to keep: of each item, those up to its median count."""
-    docs = np.array([counts.get(int(h), 0) for h in seeds.unsorted_hash], dtype=np.int64)
-    # the seeds of an item stand together
-    cuts = np.flatnonzero(np.diff(seeds.unsorted_owner)) + 1
-    parts = [own <= np.quantile(own, 0.5) for own in np.split(docs, cuts) if len(own)]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
-
-
-def best_alignments(hashes: np.ndarray, seeds: Seeds, items: list[np.ndarray]) -> dict[int, tuple]:
-    """Item -> (score, end word) of the best window of a text; windows that overlap are aligned as one."""
+            _, found = vocabulary.look_up(word_hashes(words(text), cache))
+            np.add.at(totals, found, 1)
+    some = np.flatnonzero(totals)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(totals[some], pa.int64())],
+                                     names=["word", "n"])
+
+
+def _united(low: np.ndarray, high: np.ndarray):
+    """Stretches [low, high), in order of ``low``, with those that meet as one."""
+    if len(low):
+        reach = np.maximum.accumulate(high)
+        cut = np.flatnonzero(low[1:] > reach[:-1]) + 1
+        yield from zip(low[np.concatenate([[0], cut])].tolist(),
+                       reach[np.concatenate([cut - 1, [len(low) - 1]])].tolist())
+
+
+def _stretches(hashes: np.ndarray, seeds: Seeds):
+    """(item, low, high): all stretches of a text where an alignment may reach the threshold."""
+    at, owner = seeds.look_up(hashes)
+    if not len(at):
+        return
+    last = np.arange(len(at)) + seeds.hits[owner] - 1
+    inside = last < len(at)
+    first, last = np.flatnonzero(inside), last[inside]
+    near = (owner[first] == owner[last]) & (at[last] - at[first] < seeds.span[owner[first]])
+    first, last = first[near], last[near]
+    for i in np.unique(owner[first]).tolist():
+        mine, span = owner[first] == i, int(seeds.span[i])
+        low = np.maximum(at[last[mine]] - span + 1, 0)
+        high = np.minimum(at[first[mine]] + span, len(hashes))
+        for start, end in _united(low, high):
+            part, known = hashes[start:end], seeds.words[i]
+            own = np.zeros(len(part) + 1, dtype=np.int64)
+            np.cumsum(known[np.minimum(np.searchsorted(known, part), len(known) - 1)] == part, out=own[1:])
+            width = min(span, end - start)
+            rich = start + np.flatnonzero(own[width:] - own[:-width] >= seeds.needed[i])
+            for from_, to in _united(rich, rich + width):
+                yield i, from_, to
+
+
+def best_alignments(hashes: np.ndarray, seeds: Seeds) -> dict[int, tuple]:
+    """Item -> (score, end word) of the best alignment with a text, for all items that reach their least score."""
     found: dict[int, tuple] = {}
-    spots: dict[int, list[int]] = {}
-    for grams in _grams(hashes, seeds):
-        at, hits = seeds.look_up(grams)
-        for start, owner in zip((at - seeds.place[hits]).tolist(), seeds.owner[hits].tolist()):
-            spots.setdefault(owner, []).append(start)
-    for owner, starts in spots.items():
-        item = items[owner]
-        slack = len(item) // 4 + 2
-        windows: list[list[int]] = []
-        for start in sorted(set(starts)):
-            low, high = max(0, start - slack), min(len(hashes), start + len(item) + slack)
-            # windows of copies that follow each other stay apart, so no window grows without bound
-            if windows and low <= windows[-1][0] + slack:
-                windows[-1][1] = max(windows[-1][1], high)
-            else:
-                windows.append([low, high])
-        for low, high in windows:
-            score, end = align(item, hashes[low:high])
-            share = score / (MATCH * len(item))
-            if share > found.get(owner, (0.0, 0))[0]:
-                found[owner] = (share, low + end)
+    for owner, low, high in _stretches(hashes, seeds):
+        item = seeds.items[owner]
+        score, end = align(item, hashes[low:high])
+        share = score / (MATCH * len(item))
+        if share >= seeds.least[owner] and share > found.get(owner, (0.0, 0))[0]:
+            found[owner] = (share, low + end)
     return found
 
 
-def _align_all(batches, shared, threshold: float):
-    seeds, items, ids = shared.value
+def _align_all(batches, shared):
+    seeds, ids = shared.value
     cache = WordHashes()
     for batch in batches:
         rows = []
         for doc, text in zip(text_of(batch, "doc_id"), text_of(batch, "text")):
-            for owner, (share, end) in best_alignments(
-                    word_hashes(words(text), cache), seeds, items).items():
-                if share >= threshold:
-                    rows.append((doc, ids[owner], share, end, len(items[owner])))
+            for owner, (share, end) in best_alignments(word_hashes(words(text), cache), seeds).items():
+                rows.append((doc, ids[owner], share, end, len(seeds.items[owner])))
         columns = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, kind) for c, kind in zip(
@@ -173,20 +201,22 @@ def _blocks(benchmark: DataFrame, block_words: int):
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                  seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, end_word, item_words): the best alignment of each document and item from
-    ``threshold`` on. Counts seeds when called; the alignment itself is lazy."""
+    ``threshold`` on; items with less than ``seed`` words must occur whole. Counts words when called; the alignment
+    itself is lazy."""
     spark = documents.sparkSession
     texts = documents.select("text")
     results = []
     for ids, items in _blocks(benchmark, block_words):
-        shared = spark.sparkContext.broadcast((Seeds(items, seed),))
-        counts = texts.mapInArrow(partial(_count_hits, shared=shared), "gram long, docs long").groupBy(
-            "gram").agg(F.sum("docs").alias("docs"))
-        known = {r.gram & 0xFFFFFFFFFFFFFFFF: r.docs for r in counts.collect()}
-        every = shared.value[0]
-        chosen = Seeds(items, seed, rarer_half(every, known))
-        final = spark.sparkContext.broadcast((chosen, items, ids))
+        vocabulary = Vocabulary(items)
+        shared = spark.sparkContext.broadcast(vocabulary)
+        counts = texts.mapInArrow(partial(_count_words, shared=shared), "word long, n long").groupBy(
+            "word").agg(F.sum("n").alias("n"))
+        known = np.zeros(len(vocabulary.hash), dtype=np.int64)
+        for r in counts.collect():
+            known[r.word] = r.n
+        final = spark.sparkContext.broadcast((Seeds(items, known, vocabulary, threshold, seed), ids))
         results.append(documents.select("doc_id", "text").mapInArrow(
-            partial(_align_all, shared=final, threshold=threshold),
+            partial(_align_all, shared=final),
             "doc_id long, item_id long, score double, end_word long, item_words long"))
     found = results[0]
     for other in results[1:]:

@@ -174,6 +174,35 @@ def test_contaminated(spark, docs):
     assert {r.doc_id for r in kept.collect()} == {d for d, *_ in rows} - {d for d, _ in found}
 
 
+def test_edited_copies_are_found(spark, docs):
+    """Items that leaked only as edited, gapped or partial copies, against alignment with the whole text."""
+    rng = random.Random(11)
+    items, rows = [], []
+    for i in range(40):
+        item = prose(rng, 30).split()
+        copy = list(item)
+        if i % 4 == 3:
+            copy = copy[:15 + i % 3] if i % 8 == 3 else [w for k, x in enumerate(copy) for w in ([x, "new"] if k % 2 else [x])]
+        else:
+            for k in rng.sample(range(30), (4, 7, 9)[i % 4]):
+                copy[k] = f"edit{k}"
+        items.append(" ".join(item))
+        rows.append((i, prose(rng, 30) + " " + " ".join(copy) + " " + prose(rng, 30), "s"))
+    # half of an item quoted everywhere
+    rows += [(100 + k, prose(rng, 9) + " " + " ".join(items[0].split()[:16]), "s") for k in range(20)]
+    test = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs(rows), test).collect()}
+    wanted = {}
+    for doc, text, _ in rows:
+        for i, item in enumerate(items):
+            a, b = item.lower().split(), text.lower().split()
+            # words that the text shares bound the score
+            score = brute_align(a, b) if 2 * sum(w in b for w in a) >= len(a) else 0
+            if score >= len(a):
+                wanted[doc, i] = score / (2 * len(a))
+    assert found == wanted and len([d for d, _ in found if d < 40]) >= 35
+
+
 def test_licences(docs):
     rows = ODD + [(1, "x\nReleased under the MIT License.\ny", "s"),
                   (2, "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the "
