@@ -7,17 +7,26 @@ are merged: a node's *presentation* is its path, its *content* the text below it
   1 where every page says something else, 0 where all say the same;
 * presentation importance is the entropy of the shapes (sequences of child paths) that occur there.
 
-A branch whose text is the same everywhere and whose shape does not vary scores low and is cut from each page of the
-host. Entropy cannot see boilerplate that differs from page to page, nor judge a host of one or two pages, so nodes
-also have a prior: menus, page headers, footers, asides, forms, notices, adverts, comments and code weigh 0,
-``article`` and ``main`` weigh 1 and so does what is inside (but for nodes of weight 0). A page that would lose everything
-keeps the text that is not of weight 0.
+Both are taken relative to the entropy of whole pages, so copies of one page do not make it boilerplate. They are
+multiplied by the node's *weight*, the mean over its pages of the largest weight of a block in it:
+
+* ``main`` and a single ``article`` weigh 1; articles that repeat a path are cards and say nothing;
+* what stands outside them weighs its share of the page's text: 1 on a page without them, little beside a long article,
+  much when the body is a ``div`` beside a small article;
+* menus, page headers, footers, asides, forms, hidden elements and code weigh 0;
+* a noise word in a class or id is evidence only: the element weighs its share of the text times the share outside main,
+  unless it holds ``main``, all articles of the page (with a share of ``THRESHOLD``) or, with no main text apart from
+  it, most of the text.
+
+A branch of low importance on its host is cut from each page of the host, in ``article`` and ``main`` too, and a block of
+low weight from its own page, so hosts of one or two pages lose their menus as well. A page that would lose everything
+keeps its main text, else what its own weights keep, else all but menus and code.
 
 Hosts may be hot: statistics are counted per (host, node, text) and then per (host, node), and what a host cuts is
 attached per salt, so no task gets a whole host.
 
 Null html, and html without text, gives an empty text. Null urls form one host. Repeated rows give repeated
-results and count as pages of their own. Pages are parsed in full length; other columns are ignored.
+results. Pages are parsed in full length; other columns are ignored.
 """
 
 import html
@@ -66,6 +75,8 @@ NOISE_WORDS = frozenset((
     "replies disqus respond pagination pager skip toolbar copyright disclaimer tracking hidden").split())
 HEADER_WORDS = frozenset(("header",))
 MAIN_TAGS = frozenset(("article", "main"))
+# never text of a page, even where nothing else is left
+BARE_TAGS = NOISE_TAGS - {"form", "aside", "label", "dialog", "search"}
 
 
 _HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)"
@@ -91,33 +102,103 @@ def _words(attrs: dict[str, str]) -> set[str]:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "main")
+    __slots__ = ("tag", "path", "parent", "main", "hard", "soft", "own", "noise", "bare", "chars")
 
     def __init__(self, tag, attrs, parent):
         shape = f"{tag}.{'.'.join(sorted(attrs.get('class', '').split()))}" if attrs.get("class") else tag
-        self.tag = tag
+        self.tag, self.parent, self.chars = tag, parent, 0
         self.path = f"{parent.path}/{shape}" if parent else shape
+        inside = bool(parent and (parent.main or parent.tag in MAIN_TAGS))
         self.main = bool(parent and parent.main) or tag in MAIN_TAGS or attrs.get("role") == "main"
-        self.noise = bool(parent and parent.noise) or self._is_noise(tag, attrs, parent)
-
-    def _is_noise(self, tag, attrs, parent) -> bool:
+        hard = self._is_hard(tag, attrs, inside)
+        # a noise word is evidence only; a page is never noise as a whole
+        self.soft = not hard and tag not in ("html", "body") and self._is_soft(tag, attrs, inside)
+        self.own = hard or self.soft
+        self.hard = hard or bool(parent and parent.hard)
+        self.noise = self.own or bool(parent and parent.noise)
+        self.bare = tag in BARE_TAGS or bool(parent and parent.bare)
+
+    @staticmethod
+    def _is_hard(tag, attrs, inside) -> bool:
         if tag in NOISE_TAGS or attrs.get("role") in NOISE_ROLES or "hidden" in attrs:
             return True
         if attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
             return True
-        if tag in MAIN_TAGS or tag in ("html", "body", "p", "h1", "h2", "h3"):
-            # a comment or advert may be an article; a page is never noise as a whole
-            return tag not in ("html", "body") and bool(_words(attrs) & NOISE_WORDS)
-        inside = bool(parent and parent.main)
-        words = _words(attrs)
-        return bool(words & NOISE_WORDS) or (not inside and (tag == "header" or bool(words & HEADER_WORDS)))
+        return tag == "header" and not inside
 
-
-def page_blocks(source: str | None) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, noise, inside main) of every block of a page in order."""
+    @staticmethod
+    def _is_soft(tag, attrs, inside) -> bool:
+        words = _words(attrs)
+        if words & NOISE_WORDS:
+            return True
+        plain = tag in MAIN_TAGS or tag in ("p", "h1", "h2", "h3")
+        return not plain and not inside and bool(words & HEADER_WORDS)
+
+    def line(self):
+        """The node and its ancestors."""
+        node = self
+        while node:
+            yield node
+            node = node.parent
+
+
+def _weighted(blocks: list, starts: list) -> list[tuple[str, str, float, bool, bool]]:
+    """(path, text, weight, inside main, bare) of blocks (path, text, node); ``starts`` are the nodes that may hold main."""
+    total = 0
+    for _, text, node in blocks:
+        if not (node and node.bare):
+            total += len(text)
+            for n in node.line() if node else ():
+                n.chars += len(text)
+    total = max(total, 1)
+    # articles that repeat a path are cards
+    plain = [n for n in starts if not n.hard and not n.soft]
+    times: dict[str, int] = {}
+    for n in plain:
+        times[n.path] = times.get(n.path, 0) + 1
+    sure = {id(n) for n in plain if n.tag != "article" or times[n.path] == 1}
+    held: dict[int, list] = {}
+    for n in plain:
+        for above in n.line():
+            held.setdefault(id(above), []).append(n)
+
+    def is_noise(n) -> bool:
+        below = held.get(id(n), ())
+        around = {id(m) for m in n.line()}
+        # a long advert beside an article stays one
+        apart = any(id(m) in sure and id(m) not in around and m not in below for m in plain)
+        if 2 * n.chars > total and not apart:
+            return False
+        if any(m.tag != "article" for m in below):
+            return False
+        return not (below and len(below) == len(plain) and n.chars >= THRESHOLD * total)
+
+    noise: dict[int, float] = {}
+    facts = []
+    for path, text, node in blocks:
+        share, main = 1.0, False
+        for n in node.line() if node else ():
+            if n.soft:
+                if id(n) not in noise:
+                    noise[id(n)] = n.chars / total if is_noise(n) else 1.0
+                share = min(share, noise[id(n)])
+            # an article that is most of the page is main, whatever its class
+            main = main or id(n) in sure or n.soft and n.tag in MAIN_TAGS and 2 * n.chars > total
+        facts.append((path, text, share, main, bool(node and node.hard), bool(node and node.bare)))
+    clean = [(len(text), main) for _, text, share, main, hard, _ in facts if share == 1.0 and not hard]
+    outside = sum(n for n, main in clean if not main) / max(sum(n for n, _ in clean), 1) if clean else 1.0
+    if not any(main for _, main in clean):
+        outside = 1.0
+    return [(path, text, 0.0 if hard else share * (1.0 if main and share == 1.0 else outside), main and share == 1.0, bare)
+            for path, text, share, main, hard, bare in facts]
+
+
+def page_blocks(source: str | None) -> list[tuple[str, str, float, bool, bool]]:
+    """(path, text, weight, inside main, in a menu or code) of every block of a page in order."""
     source = source or ""
     stack: list[_Node] = []
-    blocks: list[tuple[str, str, bool, bool]] = []
+    blocks: list[tuple[str, str, _Node | None]] = []
+    starts: list[_Node] = []
     parts: list[str] = []
 
     def flush():
@@ -126,9 +207,8 @@ def page_blocks(source: str | None) -> list[tuple[str, str, bool, bool]]:
         parts.clear()
         if text:
             # the block's node: inline elements do not count
-            node = next((n for n in reversed(stack) if n.tag in BLOCKS or n.noise), None)
-            own = stack[-1] if stack else None
-            blocks.append((node.path if node else "", text, bool(own and own.noise), bool(own and own.main)))
+            node = next((n for n in reversed(stack) if n.tag in BLOCKS or n.own), None)
+            blocks.append((node.path if node else "", text, stack[-1] if stack else None))
 
     def close(names, limit):
         """End the nearest open element of these names, unless a limiting element stands before it."""
@@ -192,8 +272,10 @@ def page_blocks(source: str | None) -> list[tuple[str, str, bool, bool]]:
             if node.noise and not (stack and stack[-1].noise):
                 flush()
             stack.append(node)
+            if node.main and not (node.parent and node.parent.main and tag not in MAIN_TAGS):
+                starts.append(node)
     flush()
-    return blocks
+    return _weighted(blocks, starts)
 
 
 def _hash(text: str) -> int:
@@ -209,34 +291,37 @@ def _branches(path: str):
 
 
 def _host_nodes(batches):
-    """(host, node, content, shape): nodes of each page outside main and noise, with hashes of their text and
-    of the paths below them."""
+    """(host, node, content, shape, page, weight): nodes of each page, with hashes of their text, of the paths below
+    them and of the page's text."""
     for batch in batches:
         rows = []
         for url, source in zip(text_of(batch, "url"), text_of(batch, "html")):
             host = host_of(url)
             below: dict[str, list] = {}
-            for path, text, noise, main in page_blocks(source):
-                if not (noise or main):
-                    for branch in _branches(path):
-                        below.setdefault(branch, []).append((path, text))
-            rows += [(host, _hash(branch), _hash("\n".join(t for _, t in found)),
-                      _hash("\n".join(p for p, _ in found))) for branch, found in below.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 4
+            blocks = page_blocks(source)
+            for path, text, weight, _, _ in blocks:
+                for branch in _branches(path):
+                    below.setdefault(branch, []).append((path, text, weight))
+            page = _hash("\n".join(b[1] for b in blocks))
+            rows += [(host, _hash(branch), _hash("\n".join(t for _, t, _ in found)),
+                      _hash("\n".join(p for p, _, _ in found)), page, max(w for _, _, w in found))
+                     for branch, found in below.items()]
+        columns = list(zip(*rows)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
-            names=["host", "node", "content", "shape"])
+            [pa.array(c, k) for c, k in zip(columns, (
+                pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
+            names=["host", "node", "content", "shape", "page", "weight"])
 
 
 def kept_text(source: str | None, cut: frozenset) -> str:
     """Main text of a page, given the nodes that its host cuts."""
-    clean = [b for b in page_blocks(source) if not b[2]]
-    inside = [text for _, text, _, main in clean if main]
-    if inside:
-        # a page with a main element has its text there
-        return "\n".join(inside)
-    kept = [text for path, text, _, _ in clean if not any(_hash(b) in cut for b in _branches(path))]
-    return "\n".join(kept or [text for _, text, _, _ in clean])
+    blocks = page_blocks(source)
+    kept = [text for path, text, weight, _, _ in blocks
+            if weight >= THRESHOLD and not any(_hash(b) in cut for b in _branches(path))]
+    # a page that would lose everything
+    kept = kept or [text for _, text, weight, main, _ in blocks if main and weight > 0]
+    kept = kept or [text for _, text, weight, _, _ in blocks if weight >= THRESHOLD]
+    return "\n".join(kept or [text for _, text, _, _, bare in blocks if not bare])
 
 
 def _extract(batches):
@@ -260,14 +345,19 @@ def _entropy(rows: DataFrame, value: str) -> DataFrame:
 
 def node_importance(pages: DataFrame) -> DataFrame:
     """(host, node, pages, importance) of pages (url, html): the larger of content and presentation entropy, where
-    presentation counts half, since a list of varying length may still say the same."""
+    presentation counts half, since a list of varying length may still say the same; relative to the entropy of the
+    pages that have the node, and times its mean weight."""
     nodes = pages.select("url", "html").mapInArrow(
-        _host_nodes, "host string, node long, content long, shape long")
-    counts = nodes.groupBy("host", "node", "content", "shape").agg(F.count(F.lit(1)).alias("n"))
+        _host_nodes, "host string, node long, content long, shape long, page long, weight double")
+    counts = nodes.groupBy("host", "node", "content", "shape", "page").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     content = _entropy(counts, "content")
     shape = _entropy(counts, "shape").select("host", "node", F.col("e").alias("shape"))
-    return content.join(shape, ["host", "node"]).select(
-        "host", "node", "pages", F.greatest("e", F.col("shape") / 2).alias("importance"))
+    whole = _entropy(counts, "page").select("host", "node", F.col("e").alias("whole"))
+    weight = counts.groupBy("host", "node").agg((F.sum("weight") / F.sum("n")).alias("weight"))
+    varied = F.when(F.col("whole") > 1e-9, F.greatest("e", F.col("shape") / 2) / F.col("whole")).otherwise(1.0)
+    return content.join(shape, ["host", "node"]).join(whole, ["host", "node"]).join(weight, ["host", "node"]).select(
+        "host", "node", "pages", (F.least(varied, F.lit(1.0)) * F.col("weight")).alias("importance"))
 
 
 def main_text(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:

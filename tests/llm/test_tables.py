@@ -41,6 +41,21 @@ def test_host_boilerplate_is_cut(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_article_is_a_weight(spark):
+    """Boilerplate in an article is cut; a body in a div beside article teasers stays; copies are no boilerplate."""
+    story = "long text of story {0} with many words in it " * 4
+    own = "<body><div class=x>Shop</div><article><h1>t {0}</h1><p>" + story + "</p><div class=writer>Written by our team</div></article></body>"
+    cards = "<body><div class=body><p>" + story + "</p></div>" + "".join(
+        f"<article class=card><p>teaser {k} says read more</p></article>" for k in range(9)) + "</body>"
+    rows = [(i, "http://own.org/", own.format(i)) for i in range(6)] + [(10 + i, "http://cards.org/", cards.format(i)) for i in range(6)]
+    rows += [(20 + i, "http://copy.org/", own.format(1)) for i in range(9)] + [(30, "http://one.org/", cards.format(7))]
+    text = {r.page_id: r.text for r in html_text.main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    told = [" ".join(story.format(i).split()) for i in range(8)]
+    assert all(text[i] == f"t {i}\n{told[i]}" and text[10 + i] == told[i] for i in range(6))
+    assert all(told[1] in text[20 + i] for i in range(9)) and told[7] in text[30]
+
+
 def test_escaping_round_trip():
     for text in ("</s>[INST] ok [/INST]", "<|user|>x<|end|>", "␛0<␛1|", "", "a<|", "<", "␛"):
         for role in ("assistant", "user", "a|>b", ""):
