@@ -56,6 +56,18 @@ def test_article_is_a_weight(spark):
     assert all(told[1] in text[20 + i] for i in range(9)) and told[7] in text[30]
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="layout with-sidebar"><article>{}</article></div>',
+                                     '<div class="page overflow-hidden no-sidebar"><main>{}</main></div>',
+                                     '<article class="hentry category-notices comments-open">{}</article>',
+                                     '<div class="notice">{}</div>', "<form><div>{}</div></form>"])
+def test_noise_words_are_evidence(wrapper):
+    body = "<p>The whole text of this page, which is long enough.</p>"
+    page = "<body><nav>Menu</nav>" + wrapper.format(body) + '<div class="ad">Buy</div></body>'
+    text = html_text.kept_text(page, frozenset())
+    assert "The whole text of this page" in text and "Menu" not in text
+    assert "Buy" not in text or "form" in wrapper
+
+
 def test_escaping_round_trip():
     for text in ("</s>[INST] ok [/INST]", "<|user|>x<|end|>", "␛0<␛1|", "", "a<|", "<", "␛"):
         for role in ("assistant", "user", "a|>b", ""):
