@@ -1,7 +1,8 @@
 """License scan by sentence rules.
 
-A text is cut into sentences (at line ends and after ``.``, ``!``, ``?``, ``;``), which are normalised: lower case, and every
-run of other characters than letters and digits is one space. Known sentences have identifiers; a rule is a sequence of identifiers.
+A text is cut into sentences (at blank lines and after ``.``, ``!``, ``?``, ``;``), which are normalised: lower case, and every
+run of other characters than letters and digits is one space. Comment leaders are taken away. A line end may be white space
+within a sentence or an end of one, so any whole lines of a sentence may be a known one, the longest first. Known sentences have identifiers; a rule is a sequence of identifiers.
 A rule matches where its identifiers follow each other among the known sentences of a text (other sentences may stand between).
 Rules are ordered: a match takes its sentences away from later rules, so the full grant of a licence is not also
 reported as its notice line.
@@ -9,6 +10,8 @@ reported as its notice line.
 Only built-in expressions are used. Texts without any of the words in ``HINTS`` have no known sentence and are left
 out early; every known sentence has one of them.
 
+The SQL form reads line by line: it finds sentences that are not wrapped.
+
 Null and empty texts have no licence. Results have one row per document row with a licence, so repeated rows repeat.
 Other columns are ignored.
 """
@@ -70,13 +73,11 @@ HINTS = ["licens", "warrant", "permission", "copyright notice", "redistribut", "
 # sentence ends become line ends, then lines are cut; a full stop inside "2.0" is no end
 SENTENCE_END = r"[.!?;]+([ \t\n\f\r]|\z)"
 LINE_END = r"[\n\r]+"
+# what stands before the text of a commented line
+LEADER = r"(?im)^[ \t]*(?:[#*/%;>|!\"'<-]+|(?:rem|dnl)(?=[ \t\n\r]|\z))"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
-
-
 def known_sentences() -> list[tuple[str, str]]:
     """(sentence, identifier)"""
     return [(s, name) for name, variants in SENTENCES.items() for s in variants]
@@ -87,12 +88,26 @@ def rule_names() -> list[str]:
     return list(dict.fromkeys(name for name, _ in RULES))
 
 
+def _marked(text: Column) -> Column:
+    """Normalised words of a text, with a slash at line ends and a bar at sentence ends, blank lines and both ends."""
+    text = F.translate(text, UPPER + "\x01\x02", LOWER + "  ")
+    text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), LEADER, "")
+    text = F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "\x02"), r"\n[ \t\f]*(?:\n[ \t\f]*)+", "\x02")
+    text = F.regexp_replace(F.replace(text, F.lit("\n"), F.lit("\x01")), "[^a-z0-9\x01\x02]+", " ")
+    text = F.replace(F.replace(text, F.lit("\x01"), F.lit(" / ")), F.lit("\x02"), F.lit(" | "))
+    return F.regexp_replace(F.concat(F.lit("| "), text, F.lit(" |")), " +", " ")
+
+
 def licence_sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, found): identifiers of the known sentences of each text in order, where there are any."""
-    some = documents.select("doc_id", "text").filter(F.col("text").rlike("(?i)" + "|".join(HINTS)))
+    gap = r"[^A-Za-z0-9]+(?:(?:rem|dnl)[^A-Za-z0-9]+)?"
+    hints = "(?i)" + "|".join(h.replace(" ", gap) for h in HINTS)
+    some = documents.select("doc_id", "text").filter(F.col("text").rlike(hints))
     lookup = F.create_map(*[F.lit(x) for pair in known_sentences() for x in pair])
-    lines = F.split(F.regexp_replace("text", SENTENCE_END, "\n"), LINE_END)
-    names = F.transform(lines, lambda s: F.try_element_at(lookup, _normalised(s)))
+    longest = sorted((s for s, _ in known_sentences()), key=len, reverse=True)
+    known = r"(?<=[|/] )(?:" + "|".join(s.replace(" ", "(?: /)? ") for s in longest) + ")(?= [|/])"
+    found = F.regexp_extract_all(_marked(F.col("text")), F.lit(known), F.lit(0))
+    names = F.transform(found, lambda s: F.try_element_at(lookup, F.replace(s, F.lit(" /"), F.lit(""))))
     return some.select("doc_id", F.array_compact(names).alias("found")).filter(F.size("found") > 0)
 
 

@@ -215,6 +215,55 @@ def test_licences(docs):
         assert any(h in sentence for h in licenses.HINTS)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Copyright (c) 2020, Somebody
+All rights
+reserved.
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// ", ";; ", "-- ", "REM "])
+def test_wrapped_licences(docs, leader):
+    texts = [MIT, GPL, BSD, "Released under the MIT License\n" + MIT[MIT.index("Permission"):]]
+    rows = [(i, "\n".join(leader + line if line else leader.rstrip() for line in t.split("\n")), "s") for i, t in enumerate(texts)]
+    rows += [(10 + i, t.replace("\n", "\r\n"), "s") for i, (_, t, _) in enumerate(rows)]
+    found = {r.doc_id: (r.licenses, r.sentences) for r in licenses.licences(docs(rows)).collect()}
+    wanted = [("MIT", "mit_grant,mit_condition,as_is"), ("GPL-3.0-or-later", "gpl_or_later,gpl_no_warranty"),
+              ("BSD-3-Clause,proprietary", "all_rights,bsd_redistribution,bsd_endorse"),
+              ("MIT", "mit_notice,mit_grant,mit_condition,as_is")]
+    assert found == {k + i: w for i, w in enumerate(wanted) for k in (0, 10)}
+
+
 def brute_schedule(sources):
     """(source, block, slot) by stepping through the slots; asserts the deviation at each."""
     left, parts = {s: n for s, n, _ in sources}, {s: k for s, _, k in sources}
