@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 import corpus_pipeline
 from revloom.catalog.registry import Query
-from revloom.llm import (chat, decontaminate, html_text, licenses, mixing, ngram_join, quality, secrets,
-                         vector_index, warc)
+from revloom.llm import (chat, decontaminate, html_text, licenses, mixing, ngram_join, packing, quality, repair,
+                         secrets, vector_index, warc, whitening)
 from revloom.plans.runtime import scratch_path
 
 
@@ -72,12 +72,28 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn(
+        "deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op12_bin_slack_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    told = _table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damaged(told), told)
+
+
 def llm_queries() -> dict[str, Query]:
     runs = {
         "op1_main_text": op1_main_text, "op4_chat_format": op4_chat_format, "op5_license_scan": op5_license_scan,
         "op6_warc_archive": op6_warc_archive, "op7_multi_index_search": op7_multi_index_search,
         "op2_secret_scan": op2_secret_scan, "op3_decontamination": op3_decontamination,
         "op8_pfair_mixing": op8_pfair_mixing, "op9_compression_quality": op9_compression_quality,
-        "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "pipeline": corpus_pipeline.run}
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_bin_slack_packing": op12_bin_slack_packing, "op13_conversation_repair": op13_conversation_repair,
+        "pipeline": corpus_pipeline.run}
     sql = {"op5_license_scan": licenses.licences_sql()}
     return {key: Query(run, sql.get(key)) for key, run in runs.items()}
