@@ -343,14 +343,15 @@ def _entropy(rows: DataFrame, value: str) -> DataFrame:
         F.when(total > 1, (F.log(total) - inside / total) / F.log(total)).otherwise(1.0).alias("e"))
 
 
-def node_importance(pages: DataFrame) -> DataFrame:
+def node_importance(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, node, pages, importance) of pages (url, html): the larger of content and presentation entropy, where
     presentation counts half, since a list of varying length may still say the same; relative to the entropy of the
-    pages that have the node, and times its mean weight."""
+    pages that have the node, and times its mean weight. The counts are settled: they are read four times, the pages
+    are parsed once for them."""
     nodes = pages.select("url", "html").mapInArrow(
         _host_nodes, "host string, node long, content long, shape long, page long, weight double")
-    counts = nodes.groupBy("host", "node", "content", "shape", "page").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    counts = scratch.settle(nodes.groupBy("host", "node", "content", "shape", "page").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")))
     content = _entropy(counts, "content")
     shape = _entropy(counts, "shape").select("host", "node", F.col("e").alias("shape"))
     whole = _entropy(counts, "page").select("host", "node", F.col("e").alias("whole"))
@@ -369,7 +370,7 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int =
     """
     spark = pages.sparkSession
     with Scratch(spark) as scratch:
-        rated = scratch.settle(node_importance(pages))
+        rated = scratch.settle(node_importance(pages, scratch))
         low = scratch.settle(rated.filter(
             (F.col("importance") < threshold) & (F.col("pages") >= least_pages)).groupBy("host").agg(
             F.collect_set("node").alias("cut")), keep=True)
