@@ -13,6 +13,7 @@ from revloom.operators.persistence import persistence_metrics
 from revloom.plans.runtime import settle
 
 AS_OF = "2001-09-01 00:00:00"
+TEAMS = 64
 
 
 def _repo(key: Column) -> Column:
@@ -97,6 +98,20 @@ class Tables:
         return rows.withColumn("parents", F.array_compact(F.array("_first", "_second"))).drop(
             "_first", "_second")
 
+    @cached_property
+    def graph_commits(self) -> DataFrame:
+        """Commits of a history with forks and merges: an author goes on from their last commit and begins at the last
+        one of their team; every fifth commit also merges the team's last commit."""
+        team = (F.regexp_extract("author_email", "[0-9]+", 0).cast("long") % TEAMS)
+        order = (F.to_date("date"), F.col("hash").cast("long"))
+        own = W.partitionBy("repo", "author_email").orderBy(*order)
+        near = W.partitionBy("repo", "_team").orderBy(*order)
+        rows = self.commits.withColumn("_team", team).withColumns({
+            "_own": F.lag("hash", 1).over(own), "_near": F.lag("hash", 1).over(near)})
+        first = F.coalesce("_own", "_near")
+        second = F.when((F.col("hash").cast("long") % 5 == 0) & (F.col("_near") != first), F.col("_near"))
+        return rows.withColumn("parents", F.array_compact(F.array(first, second))).drop("_team", "_own", "_near")
+
     @cached_property
     def branches(self) -> DataFrame:
         """Per author a local branch at the last commit and a remote one a commit behind; ``main`` is
@@ -196,6 +211,25 @@ CTE = {
         SELECT repo, hash, 1, CASE WHEN o_orderkey % 5 = 0 THEN lag(hash, 2) OVER w END FROM ord
           WINDOW w AS (PARTITION BY repo, o_custkey ORDER BY o_orderdate, o_orderkey))
         WHERE parent IS NOT NULL"""),
+    "graph_rows": (("ord",), f"""SELECT repo, hash, coalesce(own, near) AS first,
+        CASE WHEN o_orderkey % 5 = 0 AND near <> coalesce(own, near) THEN near END AS second FROM (
+          SELECT repo, hash, o_orderkey, lag(hash) OVER a AS own, lag(hash) OVER t AS near FROM ord
+          WINDOW a AS (PARTITION BY repo, o_custkey ORDER BY o_orderdate, o_orderkey),
+            t AS (PARTITION BY repo, o_custkey % {TEAMS} ORDER BY o_orderdate, o_orderkey))"""),
+    "graph": (("graph_rows",), """SELECT repo, hash AS child, 0 AS place, first AS parent FROM graph_rows
+        WHERE first IS NOT NULL
+        UNION ALL SELECT repo, hash, 1, second FROM graph_rows WHERE second IS NOT NULL"""),
+    "graph_heads": (("branches",), "SELECT DISTINCT repo, last_commit_hash AS head FROM branches"),
+    "graph_reach": (("graph", "graph_heads"), """SELECT repo, head, head AS hash FROM graph_heads
+        UNION SELECT r.repo, r.head, e.parent FROM graph_reach r JOIN graph e ON e.repo = r.repo
+          AND e.child = r.hash"""),
+    "graph_path": (("graph",), """SELECT repo, hash, hash AS anc, 0 AS back FROM ord
+        UNION ALL SELECT p.repo, p.hash, e.parent, back + 1 FROM graph_path p JOIN graph e ON e.repo = p.repo
+          AND e.child = p.anc AND e.place = 0"""),
+    "graph_listing": (("graph_path", "changes"), """SELECT p.repo, p.hash, filepath FROM graph_path p JOIN (
+          SELECT repo, commit_hash, filepath, max(CASE WHEN change_type = 'D' THEN 0 ELSE 1 END) AS open
+          FROM changes GROUP BY ALL) c ON c.repo = p.repo AND c.commit_hash = p.anc
+        GROUP BY p.repo, p.hash, filepath HAVING arg_min(open, back) = 1"""),
     "branch_rows": (("ord",), """SELECT repo, 'u' || o_custkey AS branch_name,
         CASE WHEN r = 2 THEN 'origin/' ELSE '' END || 'u' || o_custkey AS full_name,
         FALSE AS is_current, r = 2 AS is_remote, hash AS last_commit_hash, o_custkey

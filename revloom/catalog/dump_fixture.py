@@ -51,6 +51,30 @@ def write_log(t, kinds=("log", "numstat")) -> str:
     return root
 
 
+def write_graph_log(t) -> str:
+    """Log and numstat of the history with merges, as ``--all -m`` lists it: one record per parent. Against its second
+    parent a merge changes the lines with an odd number, with 1000 more insertions."""
+    root = scratch_path(t.spark, "dump")
+    lines = t.changes.groupBy("repo", F.col("commit_hash").alias("hash")).agg(F.array_sort(
+        F.collect_list(F.struct("deletions", "insertions", "filepath", "change_type"))).alias("_c"))
+    rows = t.graph_commits.join(lines, ["repo", "hash"], "left")
+    second = F.transform(F.filter("_c", lambda c: c["deletions"] % 2 == 1),
+                         lambda c: c.withField("insertions", c["insertions"] + 1000))
+
+    def text(cells, line):
+        return F.coalesce(F.array_join(F.transform(cells, line), "\n"), F.lit(""))
+
+    header = F.concat_ws(FIELD, "hash", "author_name", "author_email", F.unix_seconds("date").cast("string"),
+                         F.array_join("parents", " "), F.concat("message", F.lit("\n")), F.lit(""))
+    for kind, start, line in (("log", header, _status_line),
+                              ("numstat", F.concat("hash", F.lit(FIELD)), _numstat_line)):
+        record = lambda cells: F.concat(start, F.lit("\n"), text(cells, line), F.lit("\n"))  # noqa: B023, E731
+        both = F.concat(record(F.col("_c")), F.lit(RECORD), record(second))
+        _write(rows.select("repo", F.when(F.size("parents") > 1, both).otherwise(record(F.col("_c"))).alias("value")),
+               root, kind, RECORD)
+    return root
+
+
 def write_tree(t) -> str:
     """The tree of every repository's head, one record per file, each with a submodule line to skip."""
     root = scratch_path(t.spark, "dump")

@@ -40,7 +40,7 @@ def first_parent_sequence(commits: DataFrame, heads: DataFrame) -> DataFrame:
     return settle(numbered.select("repo", "hash", "date", (F.col("depth") + 1).alias("seq")))
 
 
-def _events(changes: DataFrame, sequence: DataFrame) -> DataFrame:
+def presence_events(changes: DataFrame, sequence: DataFrame) -> DataFrame:
     """One row per (repo, filepath, seq) with ``open`` 1 or 0, kept in (repo, file, segment) parts."""
     is_open = (F.col("change_type") != "D").cast("int")
     touched = changes.select("repo", "commit_hash", "filepath", is_open.alias("open"))
@@ -58,14 +58,15 @@ def _events(changes: DataFrame, sequence: DataFrame) -> DataFrame:
             .groupBy("repo", "filepath", "segment", "seq").agg(F.max("open").alias("open")))
 
 
-def file_lifetimes(changes: DataFrame, sequence: DataFrame) -> DataFrame:
+def file_lifetimes(changes: DataFrame, sequence: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """(repo, filepath, from_seq, to_seq); ``to_seq`` is null while the file is still there.
 
     Looks up the highest commit number once (a job on the small sequence table) to leave out the
     carry between segments where every history fits into one. The result is settled: it is far
-    smaller than the changes, and all questions about presence start from it.
+    smaller than the changes, and all questions about presence start from it. ``events`` are those of
+    :func:`presence_events` where they were settled already.
     """
-    events = _events(changes, sequence)
+    events = presence_events(changes, sequence) if events is None else events
     one_segment = (sequence.agg(F.max("seq")).first()[0] or 0) < SEGMENT
     part = W.partitionBy("repo", "filepath", "segment").orderBy("seq")
     file = W.partitionBy("repo", "filepath").orderBy("segment")

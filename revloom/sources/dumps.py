@@ -13,8 +13,10 @@ follow. No message or name can break the records, and large dumps split at them.
     tags     git tag -l --format=%(refname:short)%00%(objectname)%00%(taggerdate:iso)%00
              %(taggername)%00%(subject)
 
-With ``-m`` a merge is listed once per parent. For the history of one branch along first parents write the log with
-``--first-parent -m`` and that branch instead of ``--all``.
+With ``-m`` a merge is listed once per parent, in the order of its parents, but for parents from which it does not
+differ. ``numbered=True`` counts the records of a commit; where there are as many as parents (one for other commits),
+the count is the ``parent_place``, else it is null: a merge that equals one of its parents does not say which. Changes
+of place 0 are those of a log with ``--first-parent -m`` (:func:`first_parent_changes`).
 
 ``read_pipe_log`` reads the older layout with ``|`` between header fields, line by line.
 """
@@ -27,10 +29,19 @@ from revloom.plans.runtime import settle
 RECORD, FIELD = "\x1e", "\x1f"
 
 
-def _records(spark: SparkSession, root: str, kind: str, separator: str = RECORD) -> DataFrame:
+def _records(spark: SparkSession, root: str, kind: str, separator: str = RECORD,
+             placed: bool = False) -> DataFrame:
+    """Records of a kind of dump; with ``placed`` also ``_at``, which orders them as they were written."""
     rows = (spark.read.schema("value string, repo string").option("lineSep", separator)
             .text(f"{root}/{kind}"))
-    return rows.filter(F.trim("value") != "")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("record"))
+    return rows.select("*", *([place.alias("_at")] if placed else [])).filter(F.trim("value") != "")
+
+
+def _record_no(key: str) -> Column:
+    """Number of a record among those of its commit, from 0: a group has a row per parent."""
+    return F.row_number().over(W.partitionBy("repo", key).orderBy("_at")) - 1
 
 
 def _readable_date(p) -> Column:
@@ -44,13 +55,30 @@ def rejected_records(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter(bad).groupBy("repo").agg(F.count(F.lit(1)).alias("rejected"))
 
 
-def read_log(spark: SparkSession, root: str) -> DataFrame:
+def read_log(spark: SparkSession, root: str, numbered: bool = False) -> DataFrame:
     """One row per log record: header fields and the block of path lines. Malformed records are skipped;
-    :func:`rejected_records` counts them."""
+    :func:`rejected_records` counts them.
+
+    ``numbered`` adds ``record_no`` and ``parent_place``. Only records of merges are shuffled for that, by commit; the
+    dump is read once for them and once for all others.
+    """
+    if not numbered:
+        return _log_records(spark, root)
+    single = _log_records(spark, root, True).filter(F.size("parents") < 2).withColumns(
+        {"record_no": F.lit(0), "parent_place": F.lit(0)})
+    merges = _log_records(spark, root, True).filter(F.size("parents") > 1).withColumn("record_no", _record_no("hash"))
+    records = F.count(F.lit(1)).over(W.partitionBy("repo", "hash"))
+    whole = merges.withColumn("parent_place", F.when(records == F.size("parents"), F.col("record_no")))
+    return single.unionByName(whole).drop("_at")
+
+
+def _log_records(spark: SparkSession, root: str, placed: bool = False) -> DataFrame:
     parts = F.split("value", FIELD, 7)
-    rows = _records(spark, root, "log").select("repo", parts.alias("p")).filter(
+    at = ["_at"] if placed else []
+    rows = _records(spark, root, "log", placed=placed).select("repo", *at, parts.alias("p")).filter(
         F.when(F.size("p") == 7, _readable_date(F.col("p")).isNotNull()).otherwise(False))
     return rows.select(
+        *at,
         "repo", F.trim(F.col("p")[0]).alias("hash"), F.col("p")[1].alias("author_name"),
         F.col("p")[2].alias("author_email"),
         _readable_date(F.col("p")).alias("date"),
@@ -60,7 +88,7 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
 
 def commits_from_log(log: DataFrame) -> DataFrame:
     """Commits, each hash once per repository."""
-    return log.drop("body").dropDuplicates(["repo", "hash"])
+    return log.drop("body", "record_no", "parent_place").dropDuplicates(["repo", "hash"])
 
 
 def _lines(rows: DataFrame, column: str) -> DataFrame:
@@ -70,26 +98,35 @@ def _lines(rows: DataFrame, column: str) -> DataFrame:
 def changes_from_log(log: DataFrame) -> DataFrame:
     """One row per changed path; renames and copies give the new path and keep the old one.
 
-    A commit that is listed once per parent keeps its repeated rows.
+    A commit that is listed once per parent keeps its repeated rows; those of a numbered log say which they are.
     """
-    lines = _lines(log.select("repo", F.col("hash").alias("commit_hash"), "body"), "body")
+    numbers = [c for c in ("record_no", "parent_place") if c in log.columns]
+    lines = _lines(log.select("repo", F.col("hash").alias("commit_hash"), *numbers, "body"), "body")
     parts = F.split("line", "\t")
     rows = lines.filter(F.contains("line", F.lit("\t"))).select(
-        "repo", "commit_hash", text.change_kind(parts[0]).alias("change_type"),
+        "repo", "commit_hash", *numbers, text.change_kind(parts[0]).alias("change_type"),
         parts[1].alias("_first"), F.get(parts, F.lit(2)).alias("_second"))
     return rows.filter(F.col("change_type").isNotNull()).select(
-        "repo", "commit_hash", F.coalesce("_second", "_first").alias("filepath"), "change_type",
+        "repo", "commit_hash", *numbers, F.coalesce("_second", "_first").alias("filepath"), "change_type",
         F.when(F.col("_second").isNotNull(), F.col("_first")).alias("old_path"))
 
 
-def read_numstat(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, commit_hash, line_no, filepath, insertions, deletions, is_binary_change)."""
+def first_parent_changes(changes: DataFrame) -> DataFrame:
+    """Changes against the first parent, each once: what a merge brought to the branch it was made on."""
+    return changes.filter(F.col("parent_place") == 0).drop("record_no", "parent_place")
+
+
+def read_numstat(spark: SparkSession, root: str, numbered: bool = False) -> DataFrame:
+    """(repo, commit_hash[, record_no], line_no, filepath, insertions, deletions, is_binary_change)."""
     parts = F.split("value", FIELD, 2)
-    rows = _records(spark, root, "numstat").select(
-        "repo", F.trim(parts[0]).alias("commit_hash"), parts[1].alias("body"))
+    rows = _records(spark, root, "numstat", placed=numbered).select(
+        "repo", F.trim(parts[0]).alias("commit_hash"), parts[1].alias("body"), *(["_at"] if numbered else []))
+    numbers = ["record_no"] if numbered else []
+    if numbered:
+        rows = rows.withColumn("record_no", _record_no("commit_hash")).drop("_at")
     cells = F.split("line", "\t")
     return (_lines(rows, "body").filter(F.size(cells) >= 3)
-            .select("repo", "commit_hash", "line_no",
+            .select("repo", "commit_hash", *numbers, "line_no",
                     text.rename_target(cells[2]).alias("filepath"),
                     text.line_count(cells[0]).alias("insertions"),
                     text.line_count(cells[1]).alias("deletions"),
@@ -97,10 +134,12 @@ def read_numstat(spark: SparkSession, root: str) -> DataFrame:
 
 
 def with_line_counts(changes: DataFrame, numstat: DataFrame) -> DataFrame:
-    """Join numstat to change rows; the last numstat row of a (commit, path) wins, missing is 0."""
-    last = numstat.groupBy("repo", "commit_hash", "filepath").agg(
-        F.max_by(F.struct("insertions", "deletions"), "line_no").alias("_s"))
-    joined = changes.join(last, ["repo", "commit_hash", "filepath"], "left")
+    """Join numstat to change rows; the last numstat row of a (commit, path) wins, missing is 0. Where both are
+    numbered, a record of a merge gets the counts of the same record only."""
+    record = ["record_no"] if "record_no" in changes.columns and "record_no" in numstat.columns else []
+    key = ["repo", "commit_hash", *record, "filepath"]
+    last = numstat.groupBy(*key).agg(F.max_by(F.struct("insertions", "deletions"), "line_no").alias("_s"))
+    joined = changes.join(last, key, "left")
     return joined.withColumns({
         "insertions": F.coalesce("_s.insertions", F.lit(0).cast("long")),
         "deletions": F.coalesce("_s.deletions", F.lit(0).cast("long"))}).withColumn(
