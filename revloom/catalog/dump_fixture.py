@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from revloom.operators.lifetimes import head_files
+from revloom.operators.lifetimes import files_at, head_files
 from revloom.plans.runtime import scratch_path
 from revloom.sources.dumps import FIELD, RECORD
 
@@ -87,6 +87,21 @@ def write_tree(t) -> str:
     return root
 
 
+def write_trees(t) -> str:
+    """The trees of each repository's last commit of every month, a record per commit with all its paths. A file's size
+    and object id change with the year."""
+    root = scratch_path(t.spark, "dump")
+    months = t.sequence.groupBy("repo", F.date_format("date", "yyyy-MM").alias("_m")).agg(
+        F.max_by(F.struct("hash", "seq", F.year("date").alias("year")), "seq").alias("c")).select("repo", "c.*")
+    size = F.col("year") + F.length("filepath")
+    line = F.concat(F.lit("100644 blob b"), F.col("year").cast("string"), F.lit("    "), size.cast("string"), F.lit("\t"),
+                    "filepath")
+    lines = files_at(t.lifetimes, months).groupBy("repo", "hash").agg(F.collect_list(line).alias("l"))
+    _write(lines.select("repo", F.concat("hash", F.lit(FIELD + "\n"), F.array_join("l", "\n"), F.lit("\n")).alias("value")),
+           root, "tree", RECORD)
+    return root
+
+
 def write_refs(t) -> str:
     root = scratch_path(t.spark, "dump")
     nul = "\u0000"

@@ -109,6 +109,38 @@ def k5(t):
         "sort_key", F.replace("sort_path", F.lit("\u0001"), F.lit("|")))
 
 
+@query("K5_directory_totals", "repo snapshot_id path total_files:l total_size:l", """
+SELECT repo, snapshot_id, path, count(*) AS total_files, sum(length(filepath)) AS total_size FROM (
+  SELECT *, unnest(['', split_part(filepath, '/', 1), regexp_replace(filepath, '/[^/]*$', '')]) AS path FROM snap)
+GROUP BY ALL""", "lifetimes", extra=YEARLY)
+def k5_totals(t):
+    return snapshots.directory_totals(_yearly(t).withColumn("size", F.length("filepath").cast("long")))
+
+
+_NODE = """'{"name":"' || name || '","path":"' || path || '","type":"' || type || '","size":' || size
+  || ',"mode":null,"content_preview":null'"""
+
+
+@query("S12_snapshot_documents", "repo snapshot_id document", f"""
+SELECT repo, snapshot_id, '{{"name":"","path":"","type":"directory","size":null,"mode":null,"content_preview":null,"children":{{'
+  || string_agg(node, ',' ORDER BY path) || '}}}}' AS document FROM (
+  SELECT repo, snapshot_id, path, '"' || path || '":' || {_NODE} || ',"children":{{'
+    || string_agg(node, ',' ORDER BY name2) || '}}}}' AS node FROM (
+    SELECT repo, snapshot_id, split_part(path, '/', 1) AS path, split_part(path, '/', 1) AS name, 'directory' AS type,
+      'null' AS size, name AS name2, '"' || name || '":' || {_NODE} || ',"children":{{'
+      || string_agg(node, ',' ORDER BY name3) || '}}}}' AS node FROM (
+      SELECT repo, snapshot_id, regexp_replace(path, '/[^/]*$', '') AS path, split_part(path, '/', 2) AS name,
+        'directory' AS type, 'null' AS size, name AS name3, '"' || name || '":' || {_NODE} || '}}' AS node FROM (
+        SELECT repo, snapshot_id, filepath AS path, split_part(filepath, '/', 3) AS name, 'file' AS type,
+          CAST(length(filepath) AS VARCHAR) AS size FROM snap))
+    GROUP BY repo, snapshot_id, path, name, type, size) GROUP BY repo, snapshot_id, path, name, type, size)
+GROUP BY repo, snapshot_id""", "lifetimes", extra=YEARLY)
+def s12_documents(t):
+    parts = snapshots.snapshot_documents(_yearly(t).withColumn("size", F.length("filepath").cast("long")), 100)
+    return parts.groupBy("repo", "snapshot_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("document"))
+
+
 @query("A33_snapshot_stats", "repo snapshot_id total_files:l total_size:l size_text types", """
 SELECT repo, snapshot_id, total_files, total_size, printf('%.1f', total_size / 1024.0) || 'KB' AS size_text,
   types FROM (

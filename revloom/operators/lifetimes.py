@@ -133,14 +133,16 @@ def listed_head_files(presence: DataFrame, commits: DataFrame) -> DataFrame:
     return presence.join(side, ["repo", "commit_hash"], "left_semi").select("repo", "filepath")
 
 
-def files_at(lifetimes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Files present at commit numbers: ``targets`` holds (repo, seq, …) for any number of points.
+def files_at(lifetimes: DataFrame, targets: DataFrame, payload=()) -> DataFrame:
+    """Files present at commit numbers: ``targets`` holds (repo, seq, …) for any number of points; ``payload`` names
+    columns of the lifetimes that come along.
 
     The points of a repository are numbered. How many of them lie before a commit at which a lifetime begins or
     ends is looked up once per commit, which makes a lifetime a range of points: only rows of the result are made.
     """
     points = settle(with_position(targets.select("repo", "seq").distinct(), ["repo"], [F.col("seq").asc()]))
-    spans = lifetimes.select("repo", "filepath", "from_seq", F.coalesce("to_seq", F.lit(NEVER)).alias("to_seq"))
+    spans = lifetimes.select("repo", "filepath", *payload, "from_seq",
+                             F.coalesce("to_seq", F.lit(NEVER)).alias("to_seq"))
     ends = spans.select("repo", F.explode(F.array("from_seq", "to_seq")).alias("seq")).distinct()
     # at equal numbers the ends come first: they count the points before them
     order = points.withColumn("_kind", F.lit(1)).unionByName(
@@ -150,9 +152,9 @@ def files_at(lifetimes: DataFrame, targets: DataFrame) -> DataFrame:
     at = lambda end, name: before.select("repo", F.col("seq").alias(end), F.col("_before").alias(name))
     ranged = spans.join(at("from_seq", "_low"), ["repo", "from_seq"]).join(at("to_seq", "_high"), ["repo", "to_seq"])
     present = ranged.filter(F.col("_low") < F.col("_high")).select(
-        "repo", "filepath", F.explode(F.sequence(F.col("_low") + 1, "_high")).alias("position"))
+        "repo", "filepath", *payload, F.explode(F.sequence(F.col("_low") + 1, "_high")).alias("position"))
     asked = targets.join(points, ["repo", "seq"])
-    return present.join(asked, ["repo", "position"]).select(*targets.columns, "filepath")
+    return present.join(asked, ["repo", "position"]).select(*targets.columns, "filepath", *payload)
 
 
 def last_changes(changes: DataFrame, commits: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def with_line_counts(changes: DataFrame, numstat: DataFrame) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Tree listings: blobs only, with mode and size ('-' is 0). Name-only lines have neither."""
+    """Tree listings: blobs only, with mode, object id and size ('-' is 0). Name-only lines have none of these."""
     parts = F.split("value", FIELD, 2)
     rows = _records(spark, root, "tree").select(
         "repo", F.trim(parts[0]).alias("commit_hash"), parts[1].alias("body"))
@@ -157,7 +157,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     long_form = F.size(cells) == 2
     return lines.filter(~long_form | (F.size(meta) >= 4) & (F.get(meta, F.lit(1)) == "blob")).select(
         "repo", "commit_hash", F.element_at(cells, -1).alias("filepath"),
-        F.when(long_form, meta[0]).alias("mode"),
+        F.when(long_form, meta[0]).alias("mode"), F.when(long_form, F.get(meta, F.lit(2))).alias("blob"),
         F.when(long_form, text.line_count(F.get(meta, F.lit(3)))).alias("size"))
 
 
