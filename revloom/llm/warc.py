@@ -2,15 +2,16 @@
 
 ``register(spark)`` makes the format ``warc`` known::
 
+    read_records(spark, path, [("record_type", "in", ["response"]), ("target_uri", "prefix", "http://a/")])
     spark.read.format("warc").load(path)          # one row per record
     records.write.format("warc").mode("append").save(path)
 
 **Reading.** The driver lists the files and packs them into partitions of about ``partition_bytes``. A task reads
-the headers of a record first; record types and header values that the query asks for (``=``, ``IN``, prefix, null tests on
-the columns below, pushed down by Spark where ``spark.sql.python.filterPushdown.enabled`` is on) are tested on them, and the
-payload of an unwanted record is skipped by its length without being decoded. So is every payload if the schema that is
-given has no ``payload``. Spark 4.1 keeps what was pushed to a loaded table, also for later queries over the same DataFrame: load
-anew for each query. Archives may be plain or have one gzip member per record; members written here hold their
+the headers of a record first; the predicates on record type and headers that :func:`read_records` was given are tested
+on them, and the payload of an unwanted record is skipped by its length without being decoded. So is every payload if the
+columns asked for have no ``payload``. Predicates travel as options of the load. Spark's own push-down to Python sources is
+not used: Spark 4.1 keeps what one query pushed to a loaded table for later queries over it, which then lose rows
+without an error. Filters on a loaded DataFrame are right, and applied after reading. Archives may be plain or have one gzip member per record; members written here hold their
 length ("sl" extra field of the WARC standard), so that a whole member is skipped unread.
 
 **Writing.** Each task writes one file of its own name; the driver then writes a list of the files of finished tasks. Readers take
@@ -32,13 +33,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In,
-                                    InputPartition, IsNotNull, IsNull, StringStartsWith,
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
 
 SCHEMA = ("record_id string, record_type string, target_uri string, date string, content_length long, "
           "payload_digest string, refers_to string, headers map<string, string>, payload binary")
-# column -> header; columns of the reader that predicates may use
+# column -> header
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri",
            "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 PARTITION_BYTES = 64 << 20
@@ -221,23 +221,15 @@ class _Files(InputPartition):
     paths: list[str]
 
 
-def _test(f):
-    """A test of headers for a filter, None if the filter cannot be told from headers."""
-    column = getattr(f, "attribute", (None,))
-    name = HEADERS.get(column[0]) if len(column) == 1 else None
-    if name is None:
-        return None
-    if isinstance(f, EqualTo):
-        return (name, "eq", f.value)
-    if isinstance(f, In):
-        return (name, "in", tuple(f.value))
-    if isinstance(f, StringStartsWith):
-        return (name, "prefix", f.value)
-    if isinstance(f, IsNotNull):
-        return (name, "set", None)
-    if isinstance(f, IsNull):
-        return (name, "unset", None)
-    return None
+KINDS = ("eq", "in", "prefix", "set", "unset")
+
+
+def _tests(where) -> list[tuple]:
+    """(header, kind, value) of predicates on columns or on other headers by their name."""
+    for name, kind, _ in where:
+        if kind not in KINDS or name in ("content_length", "headers", "payload"):
+            raise ValueError(f"no test of headers: {kind} of {name}")
+    return [(HEADERS.get(name, name.lower()), kind, value) for name, kind, value in where]
 
 
 def _passes(fields: dict[str, str], tests) -> bool:
@@ -256,15 +248,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
         self.columns = [f.name for f in schema.fields]
-        self.tests: list[tuple] = []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            test = _test(f)
-            if test is None:
-                yield f
-            else:
-                self.tests.append(test)
+        self.tests = _tests(json.loads(options.get("where", "[]")))
 
     def partitions(self):
         store, root = open_store(self.path)
@@ -379,10 +363,18 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
+def read_records(spark: SparkSession, path: str, where=(), columns: str = SCHEMA) -> DataFrame:
+    """The records that pass all of ``where``: (column or header name, kind, value) with kind ``eq``, ``in``, ``prefix``,
+    ``set`` or ``unset`` (value None). ``columns``: those of ``SCHEMA`` to read, as DDL; without ``payload`` none is decoded."""
+    register(spark)
+    tests = [(name, kind, list(value) if kind == "in" else value) for name, kind, value in where]
+    _tests(tests)
+    return spark.read.format("warc").schema(columns).option("where", json.dumps(tests)).load(path)
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -467,8 +459,8 @@ def _digests(batches):
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload_ok) of archived pages."""
-    register(spark)
-    rows = spark.read.format("warc").load(path).filter(F.col("record_type").isin("response", "revisit"))
-    return rows.select("record_type", "payload_digest", "headers", "payload").mapInArrow(
+    rows = read_records(spark, path, [("record_type", "in", ["response", "revisit"])],
+                        "record_type string, payload_digest string, headers map<string, string>, payload binary")
+    return rows.mapInArrow(
         _digests, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
                   "payload_ok boolean")

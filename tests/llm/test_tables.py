@@ -133,10 +133,20 @@ def test_warc_round_trip(spark, tmp_path):
         assert got[page].record_type == ("response" if page == latest else "revisit")
         assert got[page].refers_to == (None if page == latest else latest)
     load = lambda name: spark.read.format("warc").load(f"file://{tmp_path}/{name}")
-    revisits = load("w").filter((F.col("record_type") == "revisit") & F.col("target_uri").startswith("http://a/2"))
+    revisits = warc.read_records(spark, path, [("record_type", "eq", "revisit"), ("target_uri", "prefix", "http://a/2")])
     # both predicates are left to the source
     assert " Filter " not in revisits._jdf.queryExecution().executedPlan().toString()
     assert [r.target_uri for r in revisits.collect()] == ["http://a/2"]
+    tested = lambda *where: sorted(r.target_uri or "" for r in warc.read_records(spark, path, where, "target_uri string").collect())
+    assert tested(("x-page-id", "in", ["5", "7"])) == ["http://a/5", "http://a/7"] and tested(("target_uri", "unset", None)) == [""]
+    assert len(tested(("refers_to", "set", None))) == len(tested(("record_type", "eq", "revisit"))) == 3
+    with pytest.raises(ValueError):
+        warc.read_records(spark, path, [("payload", "eq", "x")])
+    # one loaded table, used over and over: no query changes what another one reads
+    once = load("w")
+    responses, others = once.filter(F.col("record_type") == "response"), once.filter(F.col("record_type") == "revisit")
+    assert (once.count(), responses.count(), others.count(), once.count()) == (8, 5, 3, 8)
+    assert responses.union(others).count() == 8
     narrow = spark.read.format("warc").schema("record_type string, target_uri string").load(path)
     assert narrow.count() == len(PAGES)
     # members are plain gzip, and an archive without lengths or packing reads the same
