@@ -8,7 +8,7 @@ from revloom.catalog.registry import query
 from revloom.operators import ancestry, commits, contributors, report
 from revloom.operators.persistence import persistence_metrics
 from revloom.plans import analyses
-from revloom.plans.runtime import scratch_path
+from revloom.plans.runtime import scratch_path, settle
 from revloom.sources import documents, dumps, sinks, tables
 
 PARENTS = {"par": """SELECT repo, child, string_agg(parent, ' ' ORDER BY place) AS parents
@@ -251,3 +251,33 @@ def x1(t):
         "analysis", F.col("reason").alias("table_name"), F.lit("").alias("repo"),
         F.lit(0).alias("rows"))
     return parts[0].unionByName(parts[1]).unionByName(skipped)
+
+
+@query("X1_run_outcomes", "analysis table_name status rows:l", """
+SELECT analysis, table_name, 'done' AS status, rows FROM (
+  SELECT 'commits' AS analysis, 'years' AS table_name, count(DISTINCT (repo, year(date))) AS rows FROM ord
+  UNION ALL SELECT 'contributors', 'overview', count(DISTINCT repo) FROM ord
+  UNION ALL SELECT 'files', 'file_extension_counts', count(DISTINCT (repo, regexp_extract(filepath, '(\\.[a-z]*)?$', 0)))
+    FROM kept
+  UNION ALL SELECT 'hotspots', 'top_files', sum(least(n, 20)) FROM (SELECT count(*) AS n FROM kept GROUP BY repo)
+  UNION ALL SELECT 'architectural', 'summary', count(DISTINCT repo) FROM ord
+  UNION ALL SELECT 'activity', 'peaks', count(DISTINCT repo) FROM ord)
+UNION ALL SELECT 'broken', NULL, 'failed', NULL UNION ALL SELECT 'unknown', NULL, 'skipped', NULL""", "ord", "changes",
+       extra={"kept": "SELECT repo, filepath, count(*) AS n FROM changes GROUP BY ALL HAVING count(*) >= 2"})
+def x1_outcomes(t):
+    """All six analyses written; one table of each compared by the rows counted while writing, beside one that fails
+    when it is computed."""
+    # a table that can be declared but not computed
+    analyses.REGISTRY.setdefault("broken", analyses.Analysis("broken", frozenset({"commits"}), lambda history, config: {
+        "first": history.commits.select("repo"),
+        "second": history.commits.select(F.raise_error(F.concat(F.lit("no such "), "repo")).cast("string").alias("x"))}))
+    config = analyses.AnalysisConfig(modules=("commits", "contributors", "broken", "files", "hotspots", "architectural",
+                                              "activity", "unknown"))
+    wide = commits.export_commits(t.commits_with_parents, t.changes)
+    written = analyses.run_and_write(t.spark, tables.History(commits=settle(wide), file_changes=t.changes),
+                                     scratch_path(t.spark, "analyses"), config)
+    shown = ("years", "overview", "file_extension_counts", "top_files", "summary", "peaks")
+    wanted = dict(zip(("commits", "contributors", "files", "hotspots", "architectural", "activity"), shown))
+    status = written.status(t.spark)
+    one_each = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
+    return status.filter(F.col("table_name").isNull() | (F.col("table_name") == one_each[F.col("analysis")]))

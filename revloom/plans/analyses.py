@@ -4,10 +4,11 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from revloom.operators import clean, commits, contributors, files, stats
 from revloom.operators.persistence import asi_trend, persistence_metrics
+from revloom.plans.runtime import remove_path
 from revloom.sources.tables import History
 
 log = logging.getLogger(__name__)
@@ -162,3 +163,55 @@ def run(history: History, config: AnalysisConfig = AnalysisConfig()) -> Outcome:
     for name, reason in outcome.skipped.items():
         log.warning("skipped %s: %s", name, reason)
     return outcome
+
+
+@dataclass
+class Written:
+    """What became of a run: (analysis, table, status, reason, rows) per table, and where the tables are."""
+
+    root: str
+    rows: list[tuple[str, str | None, str, str, int | None]] = field(default_factory=list)
+
+    def status(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(
+            self.rows, "analysis string, table_name string, status string, reason string, rows long")
+
+    def read(self, spark: SparkSession, analysis: str, table: str) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/{analysis}/{table}")
+
+
+def _write_module(name: str, tables: dict[str, DataFrame], root: str) -> list[tuple]:
+    """Write the tables of one analysis; their rows are counted as they are written."""
+    done = []
+    for table, rows in tables.items():
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{root}/{name}/{table}")
+        done.append((name, table, "done", "", seen.get["rows"]))
+    return done
+
+
+def run_and_write(spark: SparkSession, history: History, root: str,
+                  config: AnalysisConfig = AnalysisConfig()) -> Written:
+    """Run the wanted analyses to the end and write their tables to ``root/<analysis>/<table>``.
+
+    Unlike :func:`run`, which only declares tables, this knows what happened when they were computed. The jobs of an
+    analysis are one job group of its name, so that it can be cancelled on its own. An analysis that fails or is cancelled
+    is recorded with its reason and leaves no tables; the others are written.
+    """
+    outcome, written, context = run(history, config), Written(root.rstrip("/")), spark.sparkContext
+    written.rows += [(name, None, "failed" if reason.startswith("failed: ") else "skipped", reason, None)
+                     for name, reason in outcome.skipped.items()]
+    for name, tables in outcome.tables.items():
+        context.setJobGroup(name, f"analysis {name}", interruptOnCancel=True)
+        try:
+            written.rows += _write_module(name, tables, written.root)
+        except Exception as error:  # one failing analysis must not stop the others
+            reason = str(error).strip().split("\n")[0]
+            status = "cancelled" if "cancelled" in str(error).lower() else "failed"
+            log.warning("analysis %s %s: %s", name, status, reason)
+            remove_path(spark, f"{written.root}/{name}")
+            written.rows.append((name, None, status, reason, None))
+        finally:
+            for local in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                context.setLocalProperty(local, None)
+    return written

@@ -238,3 +238,45 @@ def test_analyses_filters(spark, simple):
     ready = analyses.filtered(tables.History(commits=c, file_changes=f), config)
     assert ready.commits.count() == 4
     assert rows(ready.file_changes, "filepath") == [("main.py",)] * 4
+
+
+def test_outcomes_of_a_written_run(spark, simple, tmp_path, monkeypatch):
+    """A module that fails when it is computed is reported and leaves nothing; the others are written and counted."""
+    c, f = simple
+    monkeypatch.setitem(analyses.REGISTRY, "late", analyses.Analysis("late", frozenset({"commits"}), lambda h, _: {
+        "fine": h.commits, "bad": h.commits.select(F.raise_error(F.lit("no luck")).cast("string").alias("x"))}))
+    config = analyses.AnalysisConfig(modules=("late", "commits", "hotspots", "none"), min_file_changes=1)
+    written = analyses.run_and_write(spark, tables.History(commits=c, file_changes=f), f"file://{tmp_path}/out", config)
+    status = {(r.analysis, r.table_name): r for r in written.status(spark).collect()}
+    assert status["late", None].status == "failed" and "no luck" in status["late", None].reason
+    assert status["none", None].status == "skipped" and not (tmp_path / "out" / "late").exists()
+    done = [r for r in status.values() if r.status == "done"]
+    assert {r.analysis for r in done} == {"commits", "hotspots"} and len(done) == 11
+    assert all(written.read(spark, r.analysis, r.table_name).count() == r.rows for r in done)
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_records_of_merges_are_numbered(spark, tmp_path):
+    """Across files and splits; a merge that equals a parent does not say which record is whose."""
+    merge = f"{RS}m{US}Ann{US}a@x.org{US}1577880000{US}p q{US}Merge{US}\n"
+    log = [f"{RS}p{US}Ann{US}a@x.org{US}1577880000{US}{US}One{US}\nA\tx\n", merge + "M\tx\n", merge + "A\ty\n",
+           merge.replace("m", "n", 1).replace("p q", "p m") + "M\tz\n"]
+    put(tmp_path, "log", "r", "".join(log))
+    put(tmp_path, "numstat", "r", f"{RS}p{US}\\n1\t0\tx\n{RS}m{US}\n5\t1\tx\n{RS}m{US}\n2\t0\ty\n9\t9\tx\n{RS}n{US}\n3\t0\tz\n".replace("\\n", "\n"))
+    filler = "".join(f"{RS}f{i:04}{US}Ann{US}a@x.org{US}1577880000{US}{US}{'word ' * 40}{US}\nA\tf{i}\n" for i in range(400))
+    put(tmp_path, "log", "s", filler + merge + "M\tx\n" + merge + f"A\ty\n{filler}")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (most, "20k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            changes = dumps.changes_from_log(dumps.read_log(spark, str(tmp_path), numbered=True))
+            assert rows(changes.filter("repo = 'r'"), "commit_hash", "filepath", "record_no", "parent_place") == [
+                ("m", "x", 0, 0), ("m", "y", 1, 1), ("n", "z", 0, None), ("p", "x", 0, 0)]
+            assert rows(changes.filter("repo = 's' and commit_hash = 'm'"), "filepath", "parent_place") == [("x", 0), ("y", 1)]
+            assert changes.filter("repo = 's'").count() == 802
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert rows(dumps.first_parent_changes(changes).filter("repo = 'r'"), "commit_hash", "filepath") == [("m", "x"), ("p", "x")]
+    counted = dumps.with_line_counts(changes, dumps.read_numstat(spark, str(tmp_path), numbered=True))
+    assert rows(counted.filter("repo = 'r'"), "commit_hash", "filepath", "insertions") == [
+        ("m", "x", 5), ("m", "y", 2), ("n", "z", 3), ("p", "x", 1)]
