@@ -19,18 +19,20 @@ item_id is reported as null. Other columns are ignored.
 """
 
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from revloom.llm.words import WordHashes, text_of, word_hashes, words
+from revloom.llm.words import text_of, words
 
 SEED = 4
 HITS = 5
 THRESHOLD = 0.5
 BLOCK_WORDS = 500_000
-FILTER = 1 << 20
+# known words that a task holds before it counts them
+COUNTED = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 
@@ -41,11 +43,16 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """
     steps = GAP * np.arange(1, len(window) + 1)
     above = np.zeros(len(window) + 1, dtype=np.int64)
+    # the gain of every place of the window, once per distinct word of the item
+    gains = {word: np.where(window == word, MATCH, MISMATCH) for word in set(item.tolist())}
     best, end = 0, 0
-    for word in item:
-        here = np.where(window == word, MATCH, MISMATCH) + above[:-1]
-        here = np.maximum(np.maximum(here, above[1:] - GAP), 0)
-        here = np.maximum.accumulate(here + steps) - steps
+    for word in item.tolist():
+        here = gains[word] + above[:-1]
+        np.maximum(here, above[1:] - GAP, out=here)
+        np.maximum(here, 0, out=here)
+        here += steps
+        np.maximum.accumulate(here, out=here)
+        here -= steps
         above[1:] = here
         top = int(here.argmax())
         if here[top] > best:
@@ -54,26 +61,23 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 
 class Vocabulary:
-    """Distinct words, sorted by hash."""
+    """The distinct words of a block of items, numbered. Texts are read as numbers of these words: all other words are
+    -1, which matches nothing, so that most words of a text cost one look-up and are not hashed or kept."""
 
-    def __init__(self, items: list[np.ndarray]):
-        self.hash = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64)
-        self._seen = np.zeros(FILTER, dtype=bool)
-        self._seen[(self.hash & np.uint64(FILTER - 1)).astype(np.int64)] = True
+    def __init__(self, items: list[list[bytes]]):
+        self.number = {word: k for k, word in enumerate(sorted({w for item in items for w in item}))}
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in the text, indices of words) of all words that are known."""
-        at = np.flatnonzero(self._seen[(hashes & np.uint64(FILTER - 1)).astype(np.int64)])
-        index = np.searchsorted(self.hash, hashes[at])
-        known = self.hash[np.minimum(index, len(self.hash) - 1)] == hashes[at] if len(at) else np.zeros(0, bool)
-        return at[known], index[known]
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def read(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, found, repeat(-1)), dtype=np.int64, count=len(found))
 
 
 class Seeds:
     """Seed words of a block of items, and what an alignment from the threshold on takes at least."""
 
-    def __init__(self, items: list[np.ndarray], counts: np.ndarray, vocabulary: Vocabulary,
-                 threshold: float = THRESHOLD, short: int = SEED):
+    def __init__(self, items: list[np.ndarray], counts: np.ndarray, threshold: float = THRESHOLD, short: int = SEED):
         self.items = items
         sizes = np.array([len(i) for i in items], dtype=np.int64)
         # a short item is found whole or not at all
@@ -85,25 +89,25 @@ class Seeds:
         chosen, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, item in enumerate(items):
             distinct, times = np.unique(item, return_counts=True)
-            index = np.searchsorted(vocabulary.hash, distinct)
-            order = np.argsort(counts[index], kind="stable")
+            order = np.argsort(counts[distinct], kind="stable")
             # with all places of a word, until so many are left that the others alone cannot do
             before = np.cumsum(times[order]) - times[order]
-            rare = index[order][before < len(item) - self.needed[i] + self.hits[i]]
+            rare = distinct[order][before < len(item) - self.needed[i] + self.hits[i]]
             chosen.append(rare)
             owners.append(np.full(len(rare), i))
         word, owner = np.concatenate(chosen), np.concatenate(owners)
         order = np.argsort(word, kind="stable")
         self.owner = owner[order]
-        self.vocabulary = Vocabulary([vocabulary.hash[word]])
-        # the seeds of the k-th word stand at first[k] up to first[k + 1]
-        self.first = np.searchsorted(vocabulary.hash[word[order]], self.vocabulary.hash)
-        self.first = np.concatenate([self.first, [len(word)]])
+        # the seeds of word k stand at first[k] up to first[k + 1]; the last word is the unknown one, which has none
+        self.first = np.searchsorted(word[order], np.arange(len(counts) + 1))
+        self.many = np.append(np.diff(self.first), 0)
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in the text, items) of all hits, by item and place."""
-        at, word = self.vocabulary.look_up(hashes)
-        low, count = self.first[word], self.first[word + 1] - self.first[word]
+        count = self.many[read]
+        at = np.flatnonzero(count)
+        count = count[at]
+        low = self.first[read[at]]
         skipped = np.cumsum(count) - count
         owner = self.owner[np.repeat(low - skipped, count) + np.arange(count.sum())]
         at = np.repeat(at, count)
@@ -113,12 +117,19 @@ class Seeds:
 
 def _count_words(batches, shared):
     """(word, n): how often each word of the items occurs, summed up per task."""
-    vocabulary, cache = shared.value, WordHashes()
-    totals = np.zeros(len(vocabulary.hash), dtype=np.int64)
+    vocabulary = shared.value
+    totals = np.zeros(len(vocabulary), dtype=np.int64)
     for batch in batches:
+        held, size = [], 0
         for text in text_of(batch, "text"):
-            _, found = vocabulary.look_up(word_hashes(words(text), cache))
-            np.add.at(totals, found, 1)
+            read = vocabulary.read(words(text))
+            held.append(read[read >= 0])
+            size += len(held[-1])
+            if size > COUNTED:
+                totals += np.bincount(np.concatenate(held), minlength=len(totals))
+                held, size = [], 0
+        if held:
+            totals += np.bincount(np.concatenate(held), minlength=len(totals))
     some = np.flatnonzero(totals)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(totals[some], pa.int64())],
                                      names=["word", "n"])
@@ -133,9 +144,9 @@ def _united(low: np.ndarray, high: np.ndarray):
                        reach[np.concatenate([cut - 1, [len(low) - 1]])].tolist())
 
 
-def _stretches(hashes: np.ndarray, seeds: Seeds):
+def _stretches(read: np.ndarray, seeds: Seeds):
     """(item, low, high): all stretches of a text where an alignment may reach the threshold."""
-    at, owner = seeds.look_up(hashes)
+    at, owner = seeds.look_up(read)
     if not len(at):
         return
     last = np.arange(len(at)) + seeds.hits[owner] - 1
@@ -146,9 +157,9 @@ def _stretches(hashes: np.ndarray, seeds: Seeds):
     for i in np.unique(owner[first]).tolist():
         mine, span = owner[first] == i, int(seeds.span[i])
         low = np.maximum(at[last[mine]] - span + 1, 0)
-        high = np.minimum(at[first[mine]] + span, len(hashes))
+        high = np.minimum(at[first[mine]] + span, len(read))
         for start, end in _united(low, high):
-            part, known = hashes[start:end], seeds.words[i]
+            part, known = read[start:end], seeds.words[i]
             own = np.zeros(len(part) + 1, dtype=np.int64)
             np.cumsum(known[np.minimum(np.searchsorted(known, part), len(known) - 1)] == part, out=own[1:])
             width = min(span, end - start)
@@ -157,12 +168,12 @@ def _stretches(hashes: np.ndarray, seeds: Seeds):
                 yield i, from_, to
 
 
-def best_alignments(hashes: np.ndarray, seeds: Seeds) -> dict[int, tuple]:
+def best_alignments(read: np.ndarray, seeds: Seeds) -> dict[int, tuple]:
     """Item -> (score, end word) of the best alignment with a text, for all items that reach their least score."""
     found: dict[int, tuple] = {}
-    for owner, low, high in _stretches(hashes, seeds):
+    for owner, low, high in _stretches(read, seeds):
         item = seeds.items[owner]
-        score, end = align(item, hashes[low:high])
+        score, end = align(item, read[low:high])
         share = score / (MATCH * len(item))
         if share >= seeds.least[owner] and share > found.get(owner, (0.0, 0))[0]:
             found[owner] = (share, low + end)
@@ -170,12 +181,11 @@ def best_alignments(hashes: np.ndarray, seeds: Seeds) -> dict[int, tuple]:
 
 
 def _align_all(batches, shared):
-    seeds, ids = shared.value
-    cache = WordHashes()
+    seeds, ids, vocabulary = shared.value
     for batch in batches:
         rows = []
         for doc, text in zip(text_of(batch, "doc_id"), text_of(batch, "text")):
-            for owner, (share, end) in best_alignments(word_hashes(words(text), cache), seeds).items():
+            for owner, (share, end) in best_alignments(vocabulary.read(words(text)), seeds).items():
                 rows.append((doc, ids[owner], share, end, len(seeds.items[owner])))
         columns = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays(
@@ -192,8 +202,7 @@ def _blocks(benchmark: DataFrame, block_words: int):
     n = max(1, -(-total // (2 * block_words)))
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        cache = WordHashes()
-        rows = [(r.item_id, word_hashes(words(r.text), cache)) for r in part.collect()]
+        rows = [(r.item_id, words(r.text)) for r in part.collect()]
         rows = [(i, w) for i, w in rows if len(w)]
         yield [i for i, _ in rows], [w for _, w in rows]
 
@@ -211,10 +220,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
         shared = spark.sparkContext.broadcast(vocabulary)
         counts = texts.mapInArrow(partial(_count_words, shared=shared), "word long, n long").groupBy(
             "word").agg(F.sum("n").alias("n"))
-        known = np.zeros(len(vocabulary.hash), dtype=np.int64)
+        known = np.zeros(len(vocabulary), dtype=np.int64)
         for r in counts.collect():
             known[r.word] = r.n
-        final = spark.sparkContext.broadcast((Seeds(items, known, vocabulary, threshold, seed), ids))
+        final = spark.sparkContext.broadcast(
+            (Seeds([vocabulary.read(i) for i in items], known, threshold, seed), ids, vocabulary))
         results.append(documents.select("doc_id", "text").mapInArrow(
             partial(_align_all, shared=final),
             "doc_id long, item_id long, score double, end_word long, item_words long"))
