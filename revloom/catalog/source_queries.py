@@ -9,7 +9,7 @@ from revloom.operators import ancestry, commits, contributors, report
 from revloom.operators.persistence import persistence_metrics
 from revloom.plans import analyses
 from revloom.plans.runtime import scratch_path, settle
-from revloom.sources import documents, dumps, sinks, tables
+from revloom.sources import documents, dumps, sinks, store, tables
 
 PARENTS = {"par": """SELECT repo, child, string_agg(parent, ' ' ORDER BY place) AS parents
   FROM edges GROUP BY repo, child"""}
@@ -281,3 +281,25 @@ def x1_outcomes(t):
     status = written.status(t.spark)
     one_each = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
     return status.filter(F.col("table_name").isNull() | (F.col("table_name") == one_each[F.col("analysis")]))
+
+
+@query("S9_S10_refreshed_store", "table_name repo id filepath change_type date:t", """
+SELECT 'commits' AS table_name, repo, hash AS id, NULL AS filepath, NULL AS change_type, date FROM kept
+UNION ALL SELECT 'file_changes', c.repo, commit_hash, filepath, change_type, NULL FROM changes c
+  SEMI JOIN kept k ON k.repo = c.repo AND k.hash = c.commit_hash""", "ord", "changes",
+       extra={"kept": """SELECT repo, hash, date FROM ord
+         WHERE repo IN ('core', 'lib4') OR (date < TIMESTAMP '1996-01-01' AND repo <> 'lib7')"""})
+def s9_refreshed(t):
+    """A store as of 1996, renewed where a repository has changed since; one repository is given up."""
+    root = scratch_path(t.spark, "versions")
+    early = t.commits.filter(F.col("date") < "1996-01-01")
+    mark = t.orders.select("repo").distinct().withColumn("fingerprint", F.lit("1996"))
+    store.refresh(t.spark, root, mark, lambda changed: tables.History(commits=early, file_changes=t.changes.join(
+        early.select("repo", F.col("hash").alias("commit_hash")), ["repo", "commit_hash"], "left_semi")))
+    later = mark.filter("repo <> 'lib7'").withColumn("fingerprint", F.when(
+        F.col("repo").isin("core", "lib4"), "later").otherwise(F.col("fingerprint")))
+    store.refresh(t.spark, root, later, lambda changed: tables.History(commits=t.commits, file_changes=t.changes))
+    found = store.read_store(t.spark, root)
+    return found.commits.select(F.lit("commits").alias("table_name"), "repo", F.col("hash").alias("id"), "date").unionByName(
+        found.file_changes.select(F.lit("file_changes").alias("table_name"), "repo", F.col("commit_hash").alias("id"),
+                                  "filepath", "change_type"), allowMissingColumns=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from revloom.operators.persistence import persistence_metrics
 from revloom.operators import commits as commit_ops, contributors
 from revloom.plans import analyses
-from revloom.sources import documents, dumps, sinks, tables
+from revloom.sources import documents, dumps, sinks, store, tables
 from tests.conftest import rows
 
 RS, US = "\x1e", "\x1f"
@@ -280,3 +280,48 @@ def test_records_of_merges_are_numbered(spark, tmp_path):
     counted = dumps.with_line_counts(changes, dumps.read_numstat(spark, str(tmp_path), numbered=True))
     assert rows(counted.filter("repo = 'r'"), "commit_hash", "filepath", "insertions") == [
         ("m", "x", 5), ("m", "y", 2), ("n", "z", 3), ("p", "x", 1)]
+
+
+def test_store_with_one_commit_point(spark, simple, tmp_path):
+    c, f = simple
+    two = lambda df: df.unionByName(df.withColumn("repo", F.lit("007")))
+    marks = lambda **of: spark.createDataFrame([(k.strip("_"), v) for k, v in of.items()], "repo string, fingerprint string")
+    seen, root = [], f"file://{tmp_path}/store"
+
+    def build(changed):
+        seen.append(sorted(r.repo for r in changed.collect()))
+        return tables.History(commits=two(c), file_changes=two(f))
+
+    assert store.read_store(spark, root) is None
+    store.refresh(spark, root, marks(r="a", _007="a"), build)
+    first = store.read_store(spark, root)
+    assert rows(first.commits, "repo", "hash") == rows(two(c), "repo", "hash") and first.tags is None
+    assert rows(first.file_changes, *f.columns) == rows(two(f), *f.columns)
+    # a run that ends between two tables
+    broken = tables.History(commits=two(c).limit(1), file_changes=two(f).withColumn(
+        "filepath", F.raise_error(F.lit("lost")).cast("string")))
+    with pytest.raises(Exception, match="lost"):
+        store.refresh(spark, root, marks(r="b", _007="a"), lambda changed: broken)
+    assert rows(store.read_store(spark, root).commits, "repo", "hash") == rows(two(c), "repo", "hash")
+    # the next one writes what changed, and nothing of what did not
+    store.refresh(spark, root, marks(r="b", _007="a"), build)
+    assert seen == [["007", "r"], ["r"]]
+    folders = sorted(p.parent.name + "/" + p.name for p in (tmp_path / "store/data/commits").glob("version=*/repo=*"))
+    assert folders[-1] == "version=3/repo=r" and "version=3/repo=007" not in folders
+    assert rows(store.read_store(spark, root).commits, "repo", "hash") == rows(two(c), "repo", "hash")
+    store.refresh(spark, root, marks(r="b", _007="a"), build)
+    assert len(seen) == 2
+    # a repository given up, and the versions that nobody names
+    store.refresh(spark, root, marks(r="b"), build)
+    assert {r.repo for r in store.read_store(spark, root).commits.collect()} == {"r"}
+    assert store.vacuum(spark, root) == [1, 2, 4]
+    assert rows(store.read_store(spark, root).commits, "hash") == rows(c, "hash")
+
+
+def test_fingerprints_of_dumps(spark, dump):
+    first = {r.repo: r.fingerprint for r in store.dump_fingerprints(spark, dump).collect()}
+    put(dump, "log", "new", f"{RS}x")
+    second = {r.repo: r.fingerprint for r in store.dump_fingerprints(spark, dump).collect()}
+    assert set(first) == {"007"} and second["007"] == first["007"] and set(second) == {"007", "new"}
+    put(dump, "tags", "007", "v9\0h2\n")
+    assert {r.repo: r.fingerprint for r in store.dump_fingerprints(spark, dump).collect()}["007"] != first["007"]
