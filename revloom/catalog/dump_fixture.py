@@ -75,6 +75,29 @@ def write_graph_log(t) -> str:
     return root
 
 
+def write_wide_log(t) -> str:
+    """The wide dialect, children before their parents. Authors wrote a day before; messages go on over blank lines, hold count
+    lines, and quote the header of the first parent, after text and after a blank line."""
+    root = scratch_path(t.spark, "dump")
+    full = lambda c: F.lpad(c, 40, "0")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    authored = F.col("date") - F.make_dt_interval(F.lit(1))
+    about = t.commits_with_parents.withColumn("header", F.concat_ws(
+        "|", full(F.col("hash")), F.concat(F.col("author_name"), F.lit(" | team")), "author_email", iso(authored), F.lit("Builder"),
+        F.lit("b@x.org"), iso(F.col("date")), F.concat("message", F.lit(" | done")),
+        F.array_join(F.transform("parents", full), " ")))
+    quoted = about.select("repo", F.col("hash").alias("_p"), F.col("header").alias("_quote"))
+    rows = about.withColumn("_p", F.get("parents", F.lit(0))).join(quoted, ["repo", "_p"], "left").join(
+        _body(t, _numstat_line), ["repo", "hash"], "left")
+    quote = F.concat(F.coalesce("_quote", F.lit("none")), F.lit("|x"))
+    value = F.concat(F.col("header"), F.lit("|"), "message", F.lit(" | done\n\nsee\n"), quote, F.lit("\n1\t2\tcounted\n\n"), quote,
+                     F.lit("\n\n"), F.coalesce("body", F.lit("")), F.lit("\n"))
+    ordered = rows.select("repo", "date", "hash", value.alias("value")).repartition("repo").sortWithinPartitions(
+        "repo", F.to_date("date").desc(), F.col("hash").cast("long").desc())
+    ordered.select("repo", "value").write.partitionBy("repo").text(f"{root}/wide")
+    return f"{root}/wide"
+
+
 def write_tree(t) -> str:
     """The tree of every repository's head, one record per file, each with a submodule line to skip."""
     root = scratch_path(t.spark, "dump")

@@ -9,7 +9,7 @@ from revloom.operators import ancestry, commits, contributors, report
 from revloom.operators.persistence import persistence_metrics
 from revloom.plans import analyses
 from revloom.plans.runtime import scratch_path, settle
-from revloom.sources import documents, dumps, sinks, store, tables
+from revloom.sources import documents, dumps, sinks, store, tables, wide_log
 
 PARENTS = {"par": """SELECT repo, child, string_agg(parent, ' ' ORDER BY place) AS parents
   FROM edges GROUP BY repo, child"""}
@@ -25,6 +25,35 @@ def s1(t):
         "parents", F.array_join("parents", " "))
 
 
+@query("S1_wide_log_scan", "repo hash author_name author_email author_date:t committer_name committer_email date:t subject "
+       "message parents files_changed:l insertions:l deletions:l lines_changed:l is_merge:b message_length:l", """
+SELECT *, insertions + deletions AS lines_changed, length(subject) AS message_length FROM (
+  SELECT c.repo, c.hash, author_name || ' | team' AS author_name, author_email, c.date - INTERVAL 1 DAY AS author_date,
+    'Builder' AS committer_name, 'b@x.org' AS committer_email, c.date, message || ' | done' AS subject,
+    message || ' | done' || chr(10) || chr(10) || 'see' || chr(10) || quote || chr(10) || '1' || chr(9) || '2' || chr(9)
+      || 'counted' || chr(10) || chr(10) || quote AS message,
+    coalesce(parents, '') AS parents, coalesce(k, 0) AS files_changed, coalesce(i, 0) AS insertions,
+    coalesce(d, 0) AS deletions, coalesce(parents, '') LIKE '% %' AS is_merge
+  FROM commits c LEFT JOIN par p ON p.repo = c.repo AND p.child = c.hash
+  LEFT JOIN (SELECT repo, commit_hash, count(*) AS k,
+      sum(CASE WHEN filepath LIKE '%.png' THEN 0 ELSE insertions END) AS i,
+      sum(CASE WHEN filepath LIKE '%.png' THEN 0 ELSE deletions END) AS d FROM changes GROUP BY ALL) n
+    ON n.repo = c.repo AND n.commit_hash = c.hash
+  JOIN (SELECT f.repo, f.hash, coalesce(q.header, 'none') || '|x' AS quote FROM commits f
+      LEFT JOIN edges e ON e.repo = f.repo AND e.child = f.hash AND e.place = 0
+      LEFT JOIN heads q ON q.repo = e.repo AND q.hash = e.parent) x ON x.repo = c.repo AND x.hash = c.hash)""",
+       "commits", "edges", "changes", extra={**PARENTS, "heads": """
+  SELECT c.repo, c.hash, concat_ws('|', lpad(c.hash, 40, '0'), author_name || ' | team', author_email,
+    strftime(c.date - INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%SZ'), 'Builder', 'b@x.org', strftime(c.date, '%Y-%m-%dT%H:%M:%SZ'),
+    message || ' | done', coalesce(up, '')) AS header
+  FROM commits c LEFT JOIN (SELECT repo, child, string_agg(lpad(parent, 40, '0'), ' ' ORDER BY place) AS up FROM edges
+    GROUP BY repo, child) e ON e.repo = c.repo AND e.child = c.hash"""})
+def s1_wide(t):
+    found = wide_log.commits_from_wide(wide_log.read_wide_records(t.spark, dump_fixture.write_wide_log(t)))
+    short = lambda c: F.regexp_replace(c, "^0+(?=.)", "")
+    return found.withColumns({"hash": short("hash"), "parents": F.array_join(F.transform("parents", short), " ")})
+
+
 @query("S1_pipe_log_scan", "repo hash author_name author_email date:t message", """
 SELECT repo, hash, author_name, author_email, date, message || ' | more' AS message FROM commits""",
        "commits")

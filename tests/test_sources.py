@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from revloom.operators.persistence import persistence_metrics
 from revloom.operators import commits as commit_ops, contributors
 from revloom.plans import analyses
-from revloom.sources import documents, dumps, sinks, store, tables
+from revloom.sources import documents, dumps, sinks, store, tables, wide_log
 from tests.conftest import rows
 
 RS, US = "\x1e", "\x1f"
@@ -325,3 +325,36 @@ def test_fingerprints_of_dumps(spark, dump):
     assert set(first) == {"007"} and second["007"] == first["007"] and set(second) == {"007", "new"}
     put(dump, "tags", "007", "v9\0h2\n")
     assert {r.repo: r.fingerprint for r in store.dump_fingerprints(spark, dump).collect()}["007"] != first["007"]
+
+
+def test_wide_log(spark, tmp_path):
+    """Messages with blank lines, counts and quoted headers; binary files, renames, empty commits; any splits."""
+    ids = {c: c * 40 for c in "abcd"}
+    header = lambda c, subject, ups="": (f"{ids[c]}|Ann | Bee|a@x.org|2020-01-02T12:00:00+02:00|Bob|b@x.org|"
+                                         f"2020-01-03T00:00:00Z|{subject}|{' '.join(ids[u] for u in ups)}|{subject}")
+    log = (header("d", "Merge", "cb") + "\n\n"
+           + header("c", "Say | it", "b") + f"\n\nBody\n{header('b', 'quoted', 'a')}\n\n3\t4\tlike\n\n{header('a', 'old')}\n\n"
+           + "1\t2\ta.py\n-\t-\tb.png\n5\t0\t{x => y}/c.py\n\n"
+           + header("b", "No files", "a") + "\n\nlast words\n\n"
+           + header("a", "First") + f"\nmore\n{ids['b']}|not a header\n\n7\t0\ta.py\n")
+    folder = tmp_path / "repo=r"
+    folder.mkdir()
+    (folder / "log.txt").write_text(log)
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (most, "100"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            records = wide_log.read_wide_records(spark, str(tmp_path))
+            found = {r.hash[0]: r for r in wide_log.commits_from_wide(records).collect()}
+            assert set(found) == set("abcd") and found["c"].subject == "Say | it" and found["c"].author_name == "Ann | Bee"
+            assert found["c"].message.startswith("Say | it\n\nBody\naaa".replace("aaa", ids["b"])) and "3\t4\tlike" in found["c"].message
+            assert found["c"].message.endswith("|old||old") and found["b"].message == "No files\n\nlast words"
+            assert found["a"].message == f"First\nmore\n{ids['b']}|not a header"
+            assert [(found[c].files_changed, found[c].insertions, found[c].deletions) for c in "abcd"] == [
+                (1, 7, 0), (0, 0, 0), (3, 6, 2), (0, 0, 0)]
+            assert found["d"].is_merge and found["d"].parents == [ids["c"], ids["b"]] and not found["c"].is_merge
+            assert found["a"].committer_name == "Bob" and str(found["a"].author_date - found["a"].date) == "-1 day, 10:00:00"
+            assert rows(wide_log.changes_from_wide(records), "filepath", "insertions", "is_binary_change") == [
+                ("a.py", 1, False), ("a.py", 7, False), ("b.png", 0, True), ("y/c.py", 5, False)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
