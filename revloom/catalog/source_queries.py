@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from revloom.catalog import dump_fixture
 from revloom.catalog.commit_queries import BUSY
+from revloom.catalog.file_queries import LANG_SQL
 from revloom.catalog.registry import query
 from revloom.operators import ancestry, commits, contributors, report
 from revloom.operators.persistence import persistence_metrics
@@ -255,6 +256,36 @@ def s16(t):
     return report.table_counts(built)
 
 
+@query("S16_limited_tables", "table_name repo key n:l lines:l", f"""
+SELECT 'commits' AS table_name, k.repo, k.hash AS key, count(c.filepath) AS n, coalesce(sum(total_churn), 0) AS lines
+FROM kept k LEFT JOIN changes c ON c.repo = k.repo AND c.commit_hash = k.hash GROUP BY k.repo, k.hash
+UNION ALL SELECT 'contributors', k.repo, 'c' || o_custkey || '@example.com', count(DISTINCT k.hash),
+  coalesce(sum(total_churn), 0)
+FROM kept k LEFT JOIN changes c ON c.repo = k.repo AND c.commit_hash = k.hash GROUP BY k.repo, o_custkey
+UNION ALL SELECT 'file_changes', c.repo, commit_hash || '/' || filepath, insertions, total_churn FROM changes c
+  SEMI JOIN kept k ON c.repo = k.repo AND c.commit_hash = k.hash
+UNION ALL SELECT 'language_statistics', repo, {LANG_SQL}, count(*), NULL FROM (
+  SELECT repo, filepath FROM (SELECT c.repo, filepath, date, hash,
+      max(CASE WHEN change_type = 'D' THEN 0 ELSE 1 END) AS open
+    FROM changes c JOIN kept k ON c.repo = k.repo AND c.commit_hash = k.hash GROUP BY ALL)
+  GROUP BY repo, filepath HAVING arg_max(open, (date, hash)) = 1)
+WHERE NOT filepath LIKE '%.png' GROUP BY ALL""", "ord", "changes",
+       extra={"kept": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo
+         ORDER BY date DESC, hash) AS r FROM ord) WHERE r <= 500"""})
+def s16_tables(t):
+    """The rows of an extraction that is limited to the newest commits, and not only their number."""
+    built = tables.build_history(tables.History(commits=t.commits_with_parents, file_changes=t.changes), newest=500)
+    key = F.concat_ws("/", "commit_hash", "filepath")
+    parts = {"commits": (built.commits, F.col("hash"), "files_changed", "lines_changed"),
+             "contributors": (built.contributors, F.col("author_email"), "commit_count", "total_lines_changed"),
+             "file_changes": (built.file_changes, key, "insertions", "total_churn"),
+             "language_statistics": (built.language_statistics, F.col("language"), "file_count", None)}
+    rows = [table.select(F.lit(name).alias("table_name"), "repo", key.alias("key"), F.col(n).cast("long").alias("n"),
+                         (F.col(lines) if lines else F.lit(None)).cast("long").alias("lines"))
+            for name, (table, key, n, lines) in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @query("X1_U3_analyses", "analysis table_name repo rows:l", """
 SELECT 'commits' AS analysis, 'years' AS table_name, repo, count(DISTINCT year(date)) AS rows
 FROM ord GROUP BY repo
