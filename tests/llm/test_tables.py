@@ -246,4 +246,4 @@ def test_pipeline(spark):
 
 def test_one_query_per_operator():
     keys = llm_queries()
-    assert {int(k[2:].split("_")[0]) for k in keys if k.startswith("op")} == set(range(1, 11)) and "pipeline" in keys
+    assert {int(k[2:].split("_")[0]) for k in keys if k.startswith("op")} == set(range(1, 14)) and "pipeline" in keys
