@@ -127,7 +127,7 @@ def s6(t):
 
 
 def _history(t):
-    wide = commits.export_commits(t.commits_with_parents, t.changes)
+    wide = settle(commits.export_commits(t.commits_with_parents, t.changes))
     return tables.History(
         commits=persistence_metrics(wide), file_changes=t.changes,
         contributors=contributors.contributor_export(t.commits, t.changes))
@@ -135,8 +135,9 @@ def _history(t):
 
 def _documents(t):
     path = scratch_path(t.spark, "documents")
-    packed = documents.to_documents(documents.export_form(_history(t)), 2000)
-    packed.select("document").write.text(path)
+    # settled: each table is counted before it is packed
+    form = {name: settle(table) for name, table in documents.export_form(_history(t)).items()}
+    documents.to_documents(form, 2000).select("document").write.text(path, compression="gzip")
     return documents.read_documents(t.spark, path, one_per_line=True)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from revloom.functions import paths, text
 from revloom.operators import files
 from revloom.operators.clean import flatten, parse_dates
+from revloom.plans.skew import measured
 from revloom.schema import EXPORT_DOCUMENT
 from revloom.sources.tables import History
 
@@ -103,8 +104,9 @@ def to_documents(tables: dict[str, DataFrame], rows_per_document: int = 10_000)
         body = F.struct(*[F.col(c) for c in table.columns if c != "repo"])
         packed = table.select("repo", body.alias("_row"), F.xxhash64(*[
             c for c, kind in table.dtypes if not kind.startswith("map")]).alias("_h"))
-        # a hot repository meets its one size row by broadcast or by an adaptive skew join
-        parts = packed.join(sizes, ["repo"]).groupBy(
+        # counted first: the rows are shuffled once, by part, and not by repository before
+        side, _ = measured(sizes)
+        parts = packed.join(side, ["repo"]).groupBy(
             "repo", F.pmod("_h", F.col("_parts")).cast("int").alias("part")).agg(
             F.collect_list("_row").alias(name))
         pieces = parts if pieces is None else pieces.join(parts, ["repo", "part"], "full")

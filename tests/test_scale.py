@@ -5,7 +5,7 @@ import re
 import pytest
 
 from revloom.operators import lifetimes
-from revloom.sources import dumps
+from revloom.sources import documents, dumps
 from conftest import rows
 
 
@@ -36,6 +36,14 @@ def test_open_lifetimes_are_spread(plain):
     assert not re.search(r"hashpartitioning\(repo#\d+, position#", _plan(found))
 
 
+def test_rows_of_documents_are_not_shuffled_by_repository(plain):
+    table = plain.range(50).selectExpr("if(id % 5 = 0, 'small', 'hot') AS repo", "concat('h', id) AS hash")
+    packed = documents.to_documents({"commits": table}, 10)
+    assert not re.search(r"hashpartitioning\(repo#\d+, \d+\)", _plan(packed))
+    read = packed.selectExpr("repo", "explode(from_json(document, 'commits array<struct<hash:string>>').commits.hash) AS hash")
+    assert rows(read, "repo", "hash") == rows(table, "repo", "hash")
+
+
 def test_tree_in_parts_and_compressed(spark, tmp_path):
     lines = [("r", "c1\x1f\n100644 blob b1    12\ta b/x.py\n160000 commit 00  -\tsub\n"), ("r", "c1\x1f\n100755 blob b2  -\ty\tz\n"),
              ("r", "c2\x1f\n\tonly\nname only\n")]
