@@ -5,6 +5,7 @@ import re
 import pytest
 
 from revloom.operators import lifetimes
+from revloom.plans.runtime import size_partitions
 from revloom.sources import documents, dumps
 from conftest import rows
 
@@ -51,3 +52,16 @@ def test_tree_in_parts_and_compressed(spark, tmp_path):
         f"{tmp_path}/tree", compression="gzip")
     assert rows(dumps.read_tree(spark, str(tmp_path)), "commit_hash", "filepath", "mode", "blob", "size") == [
         ("c1", "a b/x.py", "100644", "b1", 12), ("c1", "y\tz", "100755", "b2", 0), ("c2", "name only", None, None, None)]
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.range(10_000).write.parquet(f"{tmp_path}/t")
+    try:
+        assert size_partitions(spark, f"{tmp_path}/t", f"{tmp_path}/missing") == int(before)
+        more = size_partitions(spark, f"{tmp_path}/t", bytes_each=1000)
+        assert more > int(before) and spark.conf.get(key) == str(more)
+        assert size_partitions(spark, f"{tmp_path}/t") == more
+    finally:
+        spark.conf.set(key, before)
