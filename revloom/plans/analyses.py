@@ -2,13 +2,13 @@
 
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from revloom.operators import clean, commits, contributors, files, stats
 from revloom.operators.persistence import asi_trend, persistence_metrics
-from revloom.plans.runtime import remove_path
+from revloom.plans.runtime import remove_path, settle
 from revloom.sources.tables import History
 
 log = logging.getLogger(__name__)
@@ -142,11 +142,11 @@ def _activity(history, config):
             "peaks": commits.activity_peaks(history.commits)}
 
 
-def run(history: History, config: AnalysisConfig = AnalysisConfig()) -> Outcome:
+def run(history: History, config: AnalysisConfig = AnalysisConfig(), ready: History | None = None) -> Outcome:
     """Declare the tables of all wanted analyses. Unknown names, missing tables and failures are
-    logged and skipped."""
+    logged and skipped. ``ready``: the history where it has been filtered already."""
     outcome = Outcome()
-    ready = filtered(history, config)
+    ready = filtered(history, config) if ready is None else ready
     for name in config.modules:
         module = REGISTRY.get(name)
         if module is None:
@@ -190,6 +190,18 @@ def _write_module(name: str, tables: dict[str, DataFrame], root: str) -> list[tu
     return done
 
 
+def _settled_changes(ready: History, config: AnalysisConfig) -> History:
+    """The filtered changes written once, if a wanted analysis needs them: many tables read them."""
+    wanted = [REGISTRY[name] for name in config.modules if name in REGISTRY]
+    if not any("file_changes" in w.requires and w.can_run(ready) for w in wanted):
+        return ready
+    try:
+        return replace(ready, file_changes=settle(ready.file_changes))
+    except Exception as error:  # recorded by the analyses that read them
+        log.warning("changes could not be written: %s", error)
+        return ready
+
+
 def run_and_write(spark: SparkSession, history: History, root: str,
                   config: AnalysisConfig = AnalysisConfig()) -> Written:
     """Run the wanted analyses to the end and write their tables to ``root/<analysis>/<table>``.
@@ -198,7 +210,8 @@ def run_and_write(spark: SparkSession, history: History, root: str,
     analysis are one job group of its name, so that it can be cancelled on its own. An analysis that fails or is cancelled
     is recorded with its reason and leaves no tables; the others are written.
     """
-    outcome, written, context = run(history, config), Written(root.rstrip("/")), spark.sparkContext
+    ready = _settled_changes(filtered(history, config), config)
+    outcome, written, context = run(history, config, ready), Written(root.rstrip("/")), spark.sparkContext
     written.rows += [(name, None, "failed" if reason.startswith("failed: ") else "skipped", reason, None)
                      for name, reason in outcome.skipped.items()]
     for name, tables in outcome.tables.items():

@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql.functions import udf
 
 from revloom.operators import lifetimes
+from revloom.plans import analyses
 from revloom.plans.runtime import size_partitions
-from revloom.sources import documents, dumps
+from revloom.sources import documents, dumps, tables
 from conftest import rows
 
 
@@ -54,6 +56,22 @@ def test_tree_in_parts_and_compressed(spark, tmp_path):
         ("c1", "a b/x.py", "100644", "b1", 12), ("c1", "y\tz", "100755", "b2", 0), ("c2", "name only", None, None, None)]
 
 
+def test_changes_are_computed_once_for_all_analyses(spark, make, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    changes = make.changes([(f"c{i}", f"src/f{i % 3}.py") for i in range(12)]).localCheckpoint()
+
+    @udf("string")
+    def counted(path):
+        seen.add(1)
+        return path
+
+    history = tables.History(file_changes=changes.withColumn("filepath", counted.asNondeterministic()("filepath")))
+    config = analyses.AnalysisConfig(modules=("files", "hotspots"), min_file_changes=1)
+    written = analyses.run_and_write(spark, history, str(tmp_path), config)
+    assert {row[2] for row in written.rows} == {"done"} and len(written.rows) > 5
+    assert seen.value <= 2 * 12
+
+
 def test_partitions_grow_with_the_input(spark, tmp_path):
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
