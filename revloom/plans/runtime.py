@@ -43,11 +43,19 @@ def settle(df: DataFrame) -> DataFrame:
 
 # input of one shuffle partition, as Parquet; rows are several times as large in a task's memory
 PARTITION_BYTES = 4 << 20
+# shuffled bytes that adaptive execution joins into one task: rows of long paths are ten times and more as large in memory
+TASK_BYTES = 16 << 20
+
+
+def byte_size(spark: SparkSession, text: str) -> int:
+    """Bytes of a size as settings give it, such as 64MB."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
 
 
 def size_partitions(spark: SparkSession, *paths: str, bytes_each: int = PARTITION_BYTES) -> int:
     """Raise ``spark.sql.shuffle.partitions`` to what the largest of the inputs needs, so that a task's share does not grow
-    with them; adaptive execution joins partitions that turn out small. Never lowered. Returns the number."""
+    with them; adaptive execution joins partitions that turn out small, up to TASK_BYTES. Never lowered, and the size of a
+    task never raised. Returns the number."""
     conf, largest = spark._jsc.hadoopConfiguration(), 0
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -56,6 +64,9 @@ def size_partitions(spark: SparkSession, *paths: str, bytes_each: int = PARTITIO
             largest = max(largest, files.getContentSummary(target).getLength())
     number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-largest // bytes_each))
     spark.conf.set("spark.sql.shuffle.partitions", str(number))
+    joined = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if byte_size(spark, spark.conf.get(joined)) > TASK_BYTES:
+        spark.conf.set(joined, str(TASK_BYTES))
     return number
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.functions import udf
 
 from revloom.operators import lifetimes
 from revloom.plans import analyses
-from revloom.plans.runtime import size_partitions
+from revloom.plans.runtime import TASK_BYTES, byte_size, size_partitions
 from revloom.sources import documents, dumps, tables
 from conftest import rows
 
@@ -83,3 +83,15 @@ def test_partitions_grow_with_the_input(spark, tmp_path):
         assert size_partitions(spark, f"{tmp_path}/t") == more
     finally:
         spark.conf.set(key, before)
+
+
+def test_tasks_are_joined_up_to_a_fixed_size(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        for asked, kept in (("64m", TASK_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(key, asked)
+            size_partitions(spark)
+            assert byte_size(spark, spark.conf.get(key)) == kept
+    finally:
+        spark.conf.set(key, before)
