@@ -12,7 +12,7 @@ from revloom.functions import scalars, text
 from revloom.operators import ancestry
 from revloom.plans.order import SEGMENT, carry_last, running_sum, segment_of, with_position
 from revloom.plans.runtime import settle
-from revloom.plans.skew import attach, measured
+from revloom.plans.skew import attach, join_by_number, measured
 
 # numbers that lifetimes without an end are dealt over
 OPEN_ENDS = 64
@@ -51,7 +51,7 @@ def presence_events(changes: DataFrame, sequence: DataFrame) -> DataFrame:
                                               F.lit(0).alias("open"))
         touched = touched.unionByName(left_behind)
     numbers = sequence.select("repo", F.col("hash").alias("commit_hash"), "seq")
-    placed = touched.join(numbers, ["repo", "commit_hash"]).withColumn("segment", segment_of("seq"))
+    placed = join_by_number(touched, numbers, ["repo", "commit_hash"]).withColumn("segment", segment_of("seq"))
     # one shuffle serves the grouping and the windows below; a file changed in every commit is cut
     # into segments of at most SEGMENT rows
     return (placed.repartition("repo", "filepath", "segment")
@@ -68,24 +68,28 @@ def file_lifetimes(changes: DataFrame, sequence: DataFrame, events: DataFrame |
     """
     events = presence_events(changes, sequence) if events is None else events
     one_segment = (sequence.agg(F.max("seq")).first()[0] or 0) < SEGMENT
-    part = W.partitionBy("repo", "filepath", "segment").orderBy("seq")
-    file = W.partitionBy("repo", "filepath").orderBy("segment")
     key = ["repo", "filepath", "segment"]
-
-    state = events.withColumn("_before", F.lag("open").over(part))
-    if not one_segment:
-        ends = events.groupBy(*key).agg(F.max_by("open", "seq").alias("_end"))
-        carried = ends.select(*key, F.lag("_end").over(file).alias("_carry"))
-        state = state.join(carried, key).withColumn("_before", F.coalesce("_before", "_carry"))
-    switches = state.filter(F.col("open") != F.coalesce("_before", F.lit(0)))
-
-    paired = switches.withColumn("to_seq", F.lead("seq").over(part))
-    if not one_segment:
-        starts = switches.groupBy(*key).agg(F.min("seq").alias("_start"))
-        following = starts.select(*key, F.lead("_start").over(file).alias("_next"))
-        paired = paired.join(following, key).withColumn("to_seq", F.coalesce("to_seq", "_next"))
-    return settle(paired.filter(F.col("open") == 1).select(
-        "repo", "filepath", F.col("seq").alias("from_seq"), "to_seq"))
+    # sorted by a number first: repositories are equal and paths begin alike in most comparisons
+    part = W.partitionBy(F.xxhash64("repo", "filepath"), *key).orderBy("seq")
+    kept = events.withColumn("_before", F.lag("open").over(part))
+    if one_segment:
+        switches = kept.filter(F.col("open") != F.coalesce("_before", F.lit(0)))
+        return settle(switches.withColumn("to_seq", F.lead("seq").over(part)).filter(F.col("open") == 1).select(
+            "repo", "filepath", F.col("seq").alias("from_seq"), "to_seq"))
+
+    # the first row of a part and those that differ from the one before; settled, as the parts are read twice below
+    kept = settle(kept.filter(F.col("_before").isNull() | (F.col("open") != F.col("_before"))).withColumn(
+        "_until", F.lead("seq").over(part)))
+    file = W.partitionBy("repo", "filepath").orderBy("segment")
+    parts = kept.groupBy(*key).agg(
+        # rows of a part take turns: the last one is that without a following row
+        F.max(F.when(F.col("_until").isNull(), F.col("open"))).alias("_end"),
+        F.min(F.when(F.col("open") == 0, F.col("seq"))).alias("_close"))
+    around = parts.select(*key, F.lag("_end").over(file).alias("_carry"), F.first("_close", ignorenulls=True).over(
+        file.rowsBetween(1, W.unboundedFollowing)).alias("_next"))
+    opened = kept.filter(F.col("open") == 1).join(around, key)
+    return settle(opened.filter(F.col("_before").isNotNull() | (F.coalesce("_carry", F.lit(0)) == 0)).select(
+        "repo", "filepath", F.col("seq").alias("from_seq"), F.coalesce("_until", "_next").alias("to_seq")))
 
 
 def presence_counts(lifetimes: DataFrame, sequence: DataFrame) -> DataFrame:
@@ -106,7 +110,8 @@ def complexity_timeline(lifetimes: DataFrame, sequence: DataFrame) -> DataFrame:
         F.struct(F.col("to_seq").alias("seq"), F.lit(-1).alias("d")))).alias("_e"))
     deltas = step.select("repo", "_e.seq", "_e.d").filter(F.col("seq").isNotNull()).groupBy(
         "repo", "seq").agg(F.sum("d").alias("_delta"))
-    full = sequence.join(deltas, ["repo", "seq"], "left").fillna(0, subset=["_delta"])
+    # sorted by the number first: it tells rows apart
+    full = sequence.join(deltas, ["seq", "repo"], "left").fillna(0, subset=["_delta"])
     return running_sum(full, ["repo"], "seq", "_delta", "total_files").select(
         "repo", "hash", "date", "seq", "total_files")
 

@@ -24,6 +24,16 @@ def attach(rows: DataFrame, scalars: DataFrame, keys, spread, salts: int = SALTS
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 
+def join_by_number(rows: DataFrame, other: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on text keys, with a hash of them in front: a sort compares its first column as a number, and texts only where
+    the hash is equal. Without it rows of one repository are told apart by comparing whole rows."""
+    keys = list(keys)
+    if any(rows.schema[k].dataType != other.schema[k].dataType for k in keys):
+        return rows.join(other, keys, how)  # types that are not the same hash differently
+    code = F.xxhash64(*keys)
+    return rows.withColumn("_code", code).join(other.withColumn("_code", code), ["_code", *keys], how).drop("_code")
+
+
 def top_n(rows: DataFrame, keys, order, n: int, spread, salts: int = 64) -> DataFrame:
     """The first ``n`` rows per key.
 

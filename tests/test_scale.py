@@ -1,13 +1,15 @@
 """Plans and shares of work that must not grow with the input."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql.functions import udf
 
 from revloom.operators import lifetimes
-from revloom.plans import analyses
+from revloom.plans import analyses, order
 from revloom.plans.runtime import TASK_BYTES, byte_size, size_partitions
+from revloom.plans.skew import join_by_number
 from revloom.sources import documents, dumps, tables
 from conftest import rows
 
@@ -95,3 +97,45 @@ def test_tasks_are_joined_up_to_a_fixed_size(spark):
             assert byte_size(spark, spark.conf.get(key)) == kept
     finally:
         spark.conf.set(key, before)
+
+
+def _history(spark, most=40):
+    """Files of a history that come and go, some in every commit, and the lifetimes found one by one."""
+    pick = random.Random(7)
+    changes = [("r", f"c{n}", f"f{f}", pick.choice("AMD")) for n in range(1, most + 1) for f in range(6)
+               if f == 0 or pick.random() < 0.3]
+    expected, since = [], {}
+    for _, commit, path, kind in changes:
+        if kind == "D":
+            if path in since:
+                expected.append(("r", path, since.pop(path), int(commit[1:])))
+        else:
+            since.setdefault(path, int(commit[1:]))
+    expected += [("r", path, start, None) for path, start in since.items()]
+    numbers = spark.createDataFrame([("r", f"c{n}", n) for n in range(1, most + 1)], "repo string, hash string, seq long")
+    rows_of = spark.createDataFrame(changes, "repo string, commit_hash string, filepath string, change_type string")
+    return rows_of, numbers, expected
+
+
+@pytest.mark.parametrize("segment", [1, 3, 7, 1 << 20])
+def test_lifetimes_across_segments_read_the_changes_once(spark, monkeypatch, segment):
+    monkeypatch.setattr(lifetimes, "SEGMENT", segment)
+    monkeypatch.setattr(order, "SEGMENT", segment)
+    changes, numbers, expected = _history(spark)
+    changes, planned, settle = changes.localCheckpoint(), [], lifetimes.settle
+    monkeypatch.setattr(lifetimes, "settle", lambda df: planned.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
+    found = lifetimes.file_lifetimes(changes, numbers)
+    assert rows(found, "repo", "filepath", "from_seq", "to_seq") == sorted(
+        expected, key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert sum(len(re.findall(r"LogicalRDD \[repo#\d+, commit_hash#", plan)) for plan in planned) == 1
+
+
+def test_join_by_number(spark):
+    left = spark.createDataFrame([("r", "a", 1), ("r", None, 2), (None, "a", 3), ("r", "b", 4)], "repo string, hash string, n int")
+    right = spark.createDataFrame([("r", "a", 10), ("r", "a", 11), ("r", None, 12), (None, "a", 13)], "repo string, hash string, m int")
+    for how in ("inner", "left"):
+        assert rows(join_by_number(left, right, ["repo", "hash"], how), "repo", "hash", "n", "m") == rows(
+            left.join(right, ["repo", "hash"], how), "repo", "hash", "n", "m")
+    numbered = right.selectExpr("10L AS n", "m")
+    assert join_by_number(left.withColumn("n", left.n + 9), numbered, ["n"]).count() == 4
