@@ -16,10 +16,15 @@ def _write(df, root, kind, separator, compression="none"):
         f"{root}/{kind}", compression=compression)
 
 
-def _body(t, line):
-    """Path lines of each commit in a fixed order (a commit of the adapters holds few lines)."""
-    rows = t.changes.groupBy("repo", F.col("commit_hash").alias("hash")).agg(F.array_sort(
+def _paths(t):
+    """Changes of each commit in a fixed order (a commit of the adapters holds few)."""
+    return t.changes.groupBy("repo", F.col("commit_hash").alias("hash")).agg(F.array_sort(
         F.collect_list(F.struct("deletions", "insertions", "filepath", "change_type"))).alias("_c"))
+
+
+def _body(t, line, paths=None):
+    """Path lines of each commit, from :func:`_paths` where they were settled."""
+    rows = _paths(t) if paths is None else paths
     return rows.select("repo", "hash", F.array_join(F.transform("_c", line), "\n").alias("body"))
 
 
@@ -41,15 +46,17 @@ def _numstat_line(c):
 
 def write_log(t, kinds=("log", "numstat")) -> str:
     root = scratch_path(t.spark, "dump")
+    # settled where several kinds are written from it
+    paths = settle(_paths(t)) if len(kinds) > 1 else None
     if "log" in kinds:
-        rows = t.commits_with_parents.join(_body(t, _status_line), ["repo", "hash"], "left")
+        rows = t.commits_with_parents.join(_body(t, _status_line, paths), ["repo", "hash"], "left")
         header = F.concat_ws(FIELD, "hash", "author_name", "author_email",
                              F.unix_seconds("date").cast("string"), F.array_join("parents", " "),
                              F.concat("message", F.lit("\n")), F.lit(""))
         _write(rows.select("repo", F.concat(header, F.lit("\n"), F.coalesce("body", F.lit("")),
                                             F.lit("\n")).alias("value")), root, "log", RECORD)
     if "numstat" in kinds:
-        rows = _body(t, _numstat_line)
+        rows = _body(t, _numstat_line, paths)
         _write(rows.select("repo", F.concat("hash", F.lit(FIELD + "\n"), "body", F.lit("\n"))
                            .alias("value")), root, "numstat", RECORD)
     return root

@@ -139,3 +139,15 @@ def test_join_by_number(spark):
             left.join(right, ["repo", "hash"], how), "repo", "hash", "n", "m")
     numbered = right.selectExpr("10L AS n", "m")
     assert join_by_number(left.withColumn("n", left.n + 9), numbered, ["n"]).count() == 4
+
+
+def test_line_counts_are_sorted_by_number(plain, make):
+    changes = make.changes([("c1", "a", "M"), ("c1", "b", "M"), ("c2", "a", "M")]).select("repo", "commit_hash", "filepath", "change_type")
+    numstat = plain.createDataFrame([("r", "c1", 0, "a", 1, 2), ("r", "c1", 1, "a", 3, 4), ("r", "c2", 0, "z", 5, 6)],
+                                    "repo string, commit_hash string, line_no int, filepath string, insertions long, deletions long")
+    found = dumps.with_line_counts(changes, numstat)
+    assert found.columns == ["repo", "commit_hash", "filepath", "change_type", "insertions", "deletions", "total_churn"]
+    assert rows(found, "commit_hash", "filepath", "insertions", "deletions", "total_churn") == [
+        ("c1", "a", 3, 4, 7), ("c1", "b", 0, 0, 0), ("c2", "a", 0, 0, 0)]
+    plan = _plan(found)
+    assert re.search(r"SortMergeJoin \[_code#", plan) and plan.count("Exchange hashpartitioning(") == 2
