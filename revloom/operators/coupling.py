@@ -19,7 +19,7 @@ The result is whole for any sizes.
 from pyspark.sql import DataFrame, functions as F
 
 from revloom.plans.runtime import settle
-from revloom.plans.skew import top_n
+from revloom.plans.skew import join_by_number, top_n
 
 SMALL_COMMIT = 200
 BLOCK = 512
@@ -40,24 +40,45 @@ def _commit_sizes(distinct: DataFrame) -> DataFrame:
                   .filter(F.col("size") > 1))
 
 
+def _often(distinct: DataFrame, least: int) -> DataFrame:
+    """(repo, filepath) of files with at least ``least`` commits."""
+    return distinct.groupBy("filepath", "repo").agg(F.count(F.lit(1)).alias("_d")).filter(
+        F.col("_d") >= least).select("repo", "filepath")
+
+
 def _members(distinct: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     """Rows of files with at least ``least`` commits (no other can pair), with the commit's size."""
     if least > 1:
-        often = distinct.groupBy("repo", "filepath").agg(F.count(F.lit(1)).alias("_d")).filter(
-            F.col("_d") >= least).select("repo", "filepath")
-        distinct = distinct.join(often, ["repo", "filepath"], "left_semi")
-    return distinct.join(sizes, ["repo", "commit_hash"])
+        distinct = distinct.join(_often(distinct, least), ["repo", "filepath"], "left_semi")
+    return join_by_number(distinct, sizes, ["repo", "commit_hash"])
+
+
+def _numbered(distinct: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of files with at least ``least`` commits, with a number for the path, and the files (repo, filepath, number).
+
+    Pairs are many times the rows, and two numbers are far narrower than two paths. The numbers hold as the files are settled.
+    """
+    files = settle(_often(distinct, least).withColumn("number", F.monotonically_increasing_id()))
+    return join_by_number(distinct, files, ["repo", "filepath"]).select(
+        "repo", "commit_hash", F.col("number").alias("filepath")), files
+
+
+def _named(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """Paths for the numbers of the pairs; the lesser path is ``file1``."""
+    side = lambda name: files.select(F.col("number").alias(name), F.col("filepath").alias(f"_{name}"))
+    rest = [c for c in pairs.columns if c not in ("repo", "file1", "file2")]
+    return pairs.join(side("file1"), "file1").join(side("file2"), "file2").select(
+        "repo", F.least("_file1", "_file2").alias("file1"), F.greatest("_file1", "_file2").alias("file2"), *rest)
 
 
 def _small_pairs(members: DataFrame) -> DataFrame:
     """Pair counts of small commits. Their sizes are bounded, so a commit fits into one array."""
     lists = members.groupBy("repo", "commit_hash").agg(
         F.array_sort(F.collect_list("filepath")).alias("_files"))
-    pairs = F.flatten(F.transform("_files", lambda x, i: F.transform(
-        F.slice("_files", i + 2, F.size("_files")),
-        lambda y: F.struct(x.alias("file1"), y.alias("file2")))))
-    return (lists.select("repo", F.inline(pairs))
-            .groupBy("repo", "file1", "file2").agg(F.count(F.lit(1)).alias("small")))
+    first = lists.select("repo", "_files", F.posexplode("_files").alias("_place", "file1"))
+    pairs = first.select("repo", "file1", F.explode(F.slice("_files", F.col("_place") + 2, F.size("_files"))).alias("file2"))
+    return pairs.groupBy("file1", "file2", "repo").agg(F.count(F.lit(1)).alias("small")).select(
+        "repo", "file1", "file2", "small")
 
 
 def _large_candidates(members: DataFrame, least: int, block: int) -> DataFrame:
@@ -114,17 +135,22 @@ def file_coupling(changes: DataFrame, min_occurrences: int = 5, small_commit: in
     least = max(1, min_occurrences)
     distinct = _distinct_changes(changes)
     sizes = _commit_sizes(distinct)
-    members = _members(distinct, sizes, least)
+    # pairs that are met once are most of all: where they are the result, paths would be looked up for each of them
+    named = lambda pairs: pairs
+    if least > 1:
+        distinct, files = _numbered(distinct, least)
+        named = lambda pairs: _named(pairs, files)
+    members = _members(distinct, sizes, 1)
     pair = ["repo", "file1", "file2"]
     if sizes.filter(F.col("size") > small_commit).isEmpty():
-        return _small_pairs(members).filter(F.col("small") >= least).withColumnRenamed(
-            "small", "times_changed_together")
+        return named(_small_pairs(members).filter(F.col("small") >= least).withColumnRenamed(
+            "small", "times_changed_together"))
     members = settle(members)
     small = _small_pairs(members.filter(F.col("size") <= small_commit))
     large = members.filter(F.col("size") > small_commit)
     candidates = _large_candidates(large, least, block).unionByName(small.select(*pair)).distinct()
     counted = _count_large(candidates, large, small, least)
     total = (F.coalesce("small", F.lit(0)) + F.coalesce("large", F.lit(0)))
-    return (small.join(counted, pair, "full").withColumn("times_changed_together", total)
-            .filter(F.col("times_changed_together") >= least)
-            .select(*pair, "times_changed_together"))
+    return named(small.join(counted, pair, "full").withColumn("times_changed_together", total)
+                 .filter(F.col("times_changed_together") >= least)
+                 .select(*pair, "times_changed_together"))

@@ -392,3 +392,13 @@ def test_threshold_defaults(make):
     assert rows(report.adaptive_thresholds(make.commits([]), alone), "high_churn", "stable_days") == [
         (50, 180)]
     assert rows(report.adaptive_thresholds(c, alone), "high_churn", "stable_days") == [(10, 15)]
+
+
+def test_pairs_are_counted_by_number(make):
+    """Paths do not travel with the pairs; the lesser path is the first one whatever the numbers are."""
+    changes = make.changes([(f"h{i}", p) for i in range(3) for p in ("z/long", "a/long", "m/long")])
+    numbered, files = coupling._numbered(coupling._distinct_changes(changes), 2)
+    pairs = coupling._small_pairs(coupling._members(numbered, coupling._commit_sizes(numbered), 1))
+    assert {k for n, k in pairs.dtypes if n in ("file1", "file2")} == {"bigint"}
+    assert rows(coupling._named(pairs, files), "file1", "file2", "small") == [
+        ("a/long", "m/long", 3), ("a/long", "z/long", 3), ("m/long", "z/long", 3)]
