@@ -402,3 +402,22 @@ def test_pairs_are_counted_by_number(make):
     assert {k for n, k in pairs.dtypes if n in ("file1", "file2")} == {"bigint"}
     assert rows(coupling._named(pairs, files), "file1", "file2", "small") == [
         ("a/long", "m/long", 3), ("a/long", "z/long", 3), ("m/long", "z/long", 3)]
+
+
+def test_tree_of_odd_paths_without_a_join_of_files(spark):
+    names = ["a//b", "/x", "A/İ/Ü.txt", "top", "a/b/", "a/c", "a/c/d", "B/c.d/e", "", "a/x\n"]
+    files = spark.createDataFrame([("r", "s", n) for n in names], "repo string, snapshot_id string, filepath string")
+    tree = snapshots.directory_tree(files)
+    assert tree._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # files do not meet the counts
+    above = {"/".join(n.split("/")[:i]) for n in names for i in range(1, n.count("/") + 1)}
+    nodes = [(n, "file") for n in names] + [(d, "directory") for d in above]
+    parent = lambda p: p.rpartition("/")[0]
+    expected = []
+    for path, kind in nodes:
+        parts = path.lower().split("/")
+        mark = "0" if kind == "directory" else "1"
+        expected.append((path, kind, parent(path), path.count("/") + 1, path.split("/")[-1],
+                         sum(parent(p) == path for p, _ in nodes) if kind == "directory" else -1,
+                         "\u0001".join([*("0" + p for p in parts[:-1]), mark + parts[-1]])))
+    found = tree.fillna(-1, ["children"])
+    assert rows(found, "path", "type", "parent_path", "depth", "name", "children", "sort_path") == sorted(expected)
