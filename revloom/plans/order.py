@@ -28,18 +28,20 @@ def with_position(rows: DataFrame, keys, order, totals=()) -> DataFrame:
     keys = list(keys)
     blocks = _blocks(rows, keys, order)
     sums = [F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in totals]]
-    per_block = blocks.groupBy(*keys, "_block").agg(*sums)
+    per_block = blocks.groupBy(*keys, "_block").agg(*sums, F.min("_slot").alias("_low"))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     shifts = per_block.select(
-        *keys, "_block",
+        *keys, "_block", "_low",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
         *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_base_{c}") for c in totals])
     within = W.partitionBy(*keys, "_block").orderBy("_slot")
     running = within.rowsBetween(W.unboundedPreceding, 0)
-    shifted = blocks.join(shifts, [*keys, "_block"])
+    # settled: the planner knows its size, and does not shuffle the rows where it can be broadcast
+    shifted = blocks.join(settle(shifts), [*keys, "_block"])
+    # rows of a key stand together in a block, so places differ from numbers by a constant
     return shifted.select(
         *rows.columns,
-        (F.row_number().over(within) + F.col("_base")).alias("position"),
+        (F.col("_slot") - F.col("_low") + 1 + F.col("_base")).alias("position"),
         *[(F.sum(c).over(running) + F.col(f"_base_{c}")).alias(f"running_{c}") for c in totals])
 
 

@@ -101,3 +101,11 @@ def test_scratch_root_follows_the_session(spark):
     settled = runtime.settle(spark.range(5))
     assert settled.count() == 5
     assert root.rstrip("/") in settled.inputFiles()[0]
+
+
+def test_positions_need_no_window_over_rows(spark):
+    df = spark.createDataFrame([(k, i) for k in "ab" for i in range(50)] + [("c", 7)], "k string, v long")
+    found = order.with_position(df, ["k"], [F.col("v").desc()])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "Window" not in plan  # the blocks' totals are settled
+    assert rows(found, "k", "v", "position") == sorted([(k, i, 50 - i) for k in "ab" for i in range(50)] + [("c", 7, 1)])
