@@ -151,3 +151,16 @@ def test_line_counts_are_sorted_by_number(plain, make):
         ("c1", "a", 3, 4, 7), ("c1", "b", 0, 0, 0), ("c2", "a", 0, 0, 0)]
     plan = _plan(found)
     assert re.search(r"SortMergeJoin \[_code#", plan) and plan.count("Exchange hashpartitioning(") == 2
+
+
+def test_files_of_a_part_are_made_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(lifetimes, "TASK_ROWS", 40)
+    spans = spark.range(60).selectExpr("'r' AS repo", "concat('f', id) AS filepath", "id % 7 AS part", "1L AS from_seq",
+                                       "CAST(if(id % 2 = 0, 4, NULL) AS long) AS to_seq")
+    points = spark.createDataFrame([("r", n) for n in range(1, 7)], "repo string, seq long")
+    found = lifetimes.files_at(spans, points, ["part"], together=["repo", "part"])
+    assert rows(found, "seq", "filepath") == sorted((n, f"f{i}") for i in range(60) for n in range(1, 7) if i % 2 or n < 4)
+    at = found.selectExpr("part", "spark_partition_id() AS p").distinct().collect()
+    assert len({r.part for r in at}) == len(at) == 7 and len({r.p for r in at}) > 1
+    # rows made are grouped by part and point without another shuffle
+    assert not re.search(r"hashpartitioning\(repo#\d+, part#\d+, seq#", _plan(found.groupBy("repo", "part", "seq").count()))
