@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql.functions import udf
 
-from revloom.operators import lifetimes
+from revloom.operators import lifetimes, listings
 from revloom.plans import analyses, order
 from revloom.plans.runtime import TASK_BYTES, byte_size, size_partitions
 from revloom.plans.skew import join_by_number
@@ -164,3 +164,19 @@ def test_files_of_a_part_are_made_by_one_task(spark, monkeypatch):
     assert len({r.part for r in at}) == len(at) == 7 and len({r.p for r in at}) > 1
     # rows made are grouped by part and point without another shuffle
     assert not re.search(r"hashpartitioning\(repo#\d+, part#\d+, seq#", _plan(found.groupBy("repo", "part", "seq").count()))
+
+
+def test_listing_is_packed_before_it_is_shuffled(plain):
+    """130 commits list the same files, with a gap and other attributes on the way, one of them twice."""
+    cells = [("r", f"c{n:03}", f"f{f}", 1 if n < 100 else 2) for n in range(1, 131) for f in range(5) if n != 70 or f]
+    cells += [("r", "c010", "f1", 0), ("r", "c011", "f1", 9), ("r", "c012", "f2", None)]
+    tree = plain.createDataFrame(cells, "repo string, commit_hash string, filepath string, size long").coalesce(1)
+    order = plain.createDataFrame([("r", f"c{n:03}", n) for n in range(1, 131)], "repo string, hash string, seq long")
+    packed = listings.pack_listing(tree, order)
+    runs = [(f, 1, 1, 100) for f in ("f2", "f3", "f4")] + [(f, 2, 100, 131) for f in ("f0", "f1", "f2", "f3", "f4")] + [
+        ("f0", 1, 1, 70), ("f0", 1, 71, 100), ("f1", 1, 1, 11), ("f1", 9, 11, 12), ("f1", 1, 12, 100)]
+    assert rows(packed, "filepath", "size", "from_seq", "to_seq") == sorted(runs, key=lambda r: tuple((False, str(x)) for x in r))
+    # of 653 rows one per file, attributes and block leaves the task that read them
+    sent = packed._jdf.queryExecution().executedPlan()
+    assert "partial_bit_or" in sent.toString() and not re.search(
+        r"hashpartitioning\(repo#\d+, filepath#\d+, _segment#", sent.toString())
