@@ -127,10 +127,12 @@ def s6(t):
 
 
 def _history(t):
-    wide = settle(commits.export_commits(t.commits_with_parents, t.changes))
+    # settled: all three tables read the changes
+    changes = settle(t.changes)
+    wide = settle(commits.export_commits(t.commits_with_parents, changes))
     return tables.History(
-        commits=persistence_metrics(wide), file_changes=t.changes,
-        contributors=contributors.contributor_export(t.commits, t.changes))
+        commits=persistence_metrics(wide), file_changes=changes,
+        contributors=contributors.contributor_export(t.commits, changes))
 
 
 def _documents(t):

@@ -29,6 +29,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# of settled tables
+CODEC = "zstd"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder once and go on from the written table.
 
@@ -37,7 +41,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=CODEC)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,7 +88,7 @@ class Scratch:
         path = scratch_path(self.spark, "table")
         if not keep:
             self._paths.append(path)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=CODEC)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self):

@@ -102,13 +102,14 @@ def to_documents(tables: dict[str, DataFrame], rows_per_document: int = 10_000)
         sizes = table.groupBy("repo").agg(F.greatest(F.lit(1), F.ceil(
             F.count(F.lit(1)) / F.lit(rows_per_document))).cast("int").alias("_parts"))
         body = F.struct(*[F.col(c) for c in table.columns if c != "repo"])
-        packed = table.select("repo", body.alias("_row"), F.xxhash64(*[
+        packed = table.select("repo", body.alias(name), F.xxhash64(*[
             c for c, kind in table.dtypes if not kind.startswith("map")]).alias("_h"))
         # counted first: the rows are shuffled once, by part, and not by repository before
         side, _ = measured(sizes)
-        parts = packed.join(side, ["repo"]).groupBy(
-            "repo", F.pmod("_h", F.col("_parts")).cast("int").alias("part")).agg(
-            F.collect_list("_row").alias(name))
-        pieces = parts if pieces is None else pieces.join(parts, ["repo", "part"], "full")
+        parts = packed.join(side, ["repo"]).select("repo", F.pmod("_h", F.col("_parts")).cast("int").alias("part"), name)
+        pieces = parts if pieces is None else pieces.unionByName(parts, allowMissingColumns=True)
+    # rows of all tables meet in one grouping; a table without rows in a part is missing there
+    lists = [F.when(F.count(F.col(name)) > 0, F.collect_list(name)).alias(name) for name in tables]
+    pieces = pieces.groupBy("repo", "part").agg(*lists)
     info = F.struct(F.col("repo").alias("repo_name")).alias("repository_info")
     return pieces.select("repo", "part", F.to_json(F.struct(info, *tables)).alias("document"))

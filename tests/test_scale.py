@@ -180,3 +180,13 @@ def test_listing_is_packed_before_it_is_shuffled(plain):
     sent = packed._jdf.queryExecution().executedPlan()
     assert "partial_bit_or" in sent.toString() and not re.search(
         r"hashpartitioning\(repo#\d+, filepath#\d+, _segment#", sent.toString())
+
+
+def test_tables_of_documents_meet_in_one_shuffle(plain):
+    table = plain.range(50).selectExpr("if(id % 5 = 0, 'small', 'hot') AS repo", "concat('h', id) AS hash")
+    tags = plain.range(3).selectExpr("'hot' AS repo", "concat('t', id) AS tag_name")
+    packed = documents.to_documents({"commits": table, "tags": tags, "branches": table}, 10)
+    assert _plan(packed).count("Exchange hashpartitioning(") == 1
+    texts = [r.document for r in packed.collect()]
+    assert len(texts) == 5 and sum("tags" in x for x in texts) == 1  # a table without rows is not named
+    assert sum(x.count('"hash"') for x in texts) == 100 and sum(x.count('"tag_name"') for x in texts) == 3
