@@ -50,7 +50,8 @@ def _members(distinct: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     """Rows of files with at least ``least`` commits (no other can pair), with the commit's size."""
     if least > 1:
         distinct = distinct.join(_often(distinct, least), ["repo", "filepath"], "left_semi")
-    return join_by_number(distinct, sizes, ["repo", "commit_hash"])
+    # the commit first: ids tell rows apart, and the rows of a commit stay together for its list of files
+    return distinct.join(sizes, ["commit_hash", "repo"])
 
 
 def _numbered(distinct: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:

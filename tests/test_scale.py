@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql.functions import udf
 
-from revloom.operators import lifetimes, listings
+from revloom.operators import coupling, lifetimes, listings
 from revloom.plans import analyses, order
 from revloom.plans.runtime import TASK_BYTES, byte_size, size_partitions
 from revloom.plans.skew import join_by_number
@@ -190,3 +190,13 @@ def test_tables_of_documents_meet_in_one_shuffle(plain):
     texts = [r.document for r in packed.collect()]
     assert len(texts) == 5 and sum("tags" in x for x in texts) == 1  # a table without rows is not named
     assert sum(x.count('"hash"') for x in texts) == 100 and sum(x.count('"tag_name"') for x in texts) == 3
+
+
+def test_lists_of_small_commits_are_not_shuffled_again(plain, make):
+    changes = make.changes([(f"c{n}", f"f{f}") for n in range(6) for f in range(n % 4 + 1)])
+    distinct = coupling._distinct_changes(changes)
+    members = coupling._members(distinct, coupling._commit_sizes(distinct), 1)
+    lists = members.groupBy("repo", "commit_hash").agg({"filepath": "collect_list"})
+    assert _plan(lists).count("Exchange hashpartitioning(") == 2
+    pairs = rows(coupling.file_coupling(changes, 1), "file1", "file2", "times_changed_together")
+    assert pairs == [("f0", "f1", 4), ("f0", "f2", 2), ("f0", "f3", 1), ("f1", "f2", 2), ("f1", "f3", 1), ("f2", "f3", 1)]
